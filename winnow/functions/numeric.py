@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .hashing import _c
 
 
+def let(value, body) -> Column:
+    """``body`` applied to ``value`` evaluated once, instead of once per mention."""
+    return F.get(F.transform(F.array(_c(value)), body), F.lit(0))
+
+
 def finite(value) -> Column:
     v = _c(value).cast("double")
     return v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))

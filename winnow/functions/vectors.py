@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .hashing import _c
-from .numeric import finite
+from .numeric import finite, let
 
 
 def all_finite(vector) -> Column:
@@ -33,12 +33,16 @@ def dot(left, right) -> Column:
 
 def normalize(vector, dimensions: int | None = None) -> Column:
     """Unit-length float vector, NULL when empty, non-finite, mis-sized or (near) zero."""
-    v = _c(vector)
-    length = norm(v)
-    ok = finite(length) & (length > 1e-12) & all_finite(v) & (F.size(v) > 0)
-    if dimensions is not None:
-        ok = ok & (F.size(v) == dimensions)
-    return F.when(ok, F.transform(v, lambda x: (x.cast("double") / length).cast("float")))
+    def scaled(v: Column) -> Column:
+        def by(length: Column) -> Column:
+            ok = finite(length) & (length > 1e-12) & all_finite(v) & (F.size(v) > 0)
+            if dimensions is not None:
+                ok = ok & (F.size(v) == dimensions)
+            return F.when(ok, F.transform(v, lambda x: (x.cast("double") / length).cast("float")))
+
+        return let(norm(v), by)
+
+    return let(vector, scaled)
 
 
 def valid_unit(vector, dimensions: int, tolerance: float = 1e-3) -> Column:
@@ -49,9 +53,13 @@ def valid_unit(vector, dimensions: int, tolerance: float = 1e-3) -> Column:
 def cosine(left, right) -> Column:
     """Cosine clamped to [-1, 1]; NULL for mismatched sizes or invalid norms."""
     a, b = _c(left), _c(right)
-    product = norm(a) * norm(b)
-    value = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / product))
-    return F.when((F.size(a) == F.size(b)) & finite(product) & (product > 0), value)
+    return let(
+        norm(a) * norm(b),
+        lambda product: F.when(
+            (F.size(a) == F.size(b)) & finite(product) & (product > 0),
+            F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / product)),
+        ),
+    )
 
 
 def mean_abs_difference(left, right, size: int = 64) -> Column:

@@ -25,7 +25,7 @@ STATE = """
       FROM documents),
   state AS (SELECT e.*, coalesce(dec.decision, 'pending') AS decision, coalesce(mrk.rating, 0) AS rating,
       coalesce(mrk.color_label, 'none') AS color_label, CASE WHEN fresh THEN raw_score ELSE -1.0 END AS score,
-      CASE WHEN fresh THEN raw_verdict END AS verdict, CASE WHEN fresh THEN 'current' ELSE 'stale' END AS status
+      CASE WHEN fresh THEN raw_verdict END AS verdict, raw_verdict, CASE WHEN fresh THEN 'current' ELSE 'stale' END AS status
       FROM entities e LEFT JOIN dec USING (photo_id) LEFT JOIN mrk USING (photo_id) JOIN narrow USING (photo_id))
 """
 STATE_VIEWS = ["entities", "decision_log", "mark_log"]
@@ -555,13 +555,20 @@ def undo_report(d):
     return log.undo_latest(d.sessions, d.decision_log, d.mark_log)[1]
 
 
-ADOPT = """cand AS (SELECT project_id, photo_id, decision, verdict, status, size_bytes % 8 = 0 AS closed_eye, photo_id IN (SELECT photo_id FROM locks) AS locked,
+ADOPT = """cand AS (SELECT project_id, photo_id, decision, raw_verdict AS verdict, status, size_bytes % 8 = 0 AS closed_eye, photo_id IN (SELECT photo_id FROM locks) AS locked,
    CASE WHEN size_bytes % 9 = 0 THEN false WHEN size_bytes % 9 = 1 THEN true END AS allowed FROM state WHERE NOT missing AND NOT quarantined AND decision = 'pending'),
  acted AS (SELECT *, CASE WHEN locked THEN 'keep' WHEN closed_eye THEN NULL WHEN verdict = 'recommend' AND allowed IS DISTINCT FROM false THEN 'keep' WHEN verdict = 'reject_suggest' THEN 'reject' END AS action FROM cand)"""
 
 
 def adoption(d):
-    rows = catalog.available(candidate_view(d)).withColumn("closed_eye", F.col("size_bytes") % 8 == 0)
+    # Adoption reads the stored verdict: acting on a stale one is a violation, not a skip.
+    stored = narrow_analyses(d).select("photo_id", "verdict")
+    rows = (
+        catalog.available(candidate_view(d))
+        .drop("verdict")
+        .join(stored, "photo_id", "left")
+        .withColumn("closed_eye", F.col("size_bytes") % 8 == 0)
+    )
     rules = d.entities.select(
         "photo_id", F.when(F.col("size_bytes") % 9 == 0, False).when(F.col("size_bytes") % 9 == 1, True).alias("allowed")
     )

@@ -207,8 +207,9 @@ def duck_with(names, body: str) -> str:
     parts = [
         f"{n} AS ({DUCK_ONLY[n] if n in DUCK_ONLY else _dialect(VIEWS[n], 1).format(**plain).replace('N_DOCUMENTS', count)})" for n in order
     ]
-    head = "WITH RECURSIVE " if body.lstrip().upper().startswith("RECURSIVE ") else "WITH "
-    body = re.sub(r"^\s*RECURSIVE\s+", "", body, flags=re.I)
+    if body.lstrip().upper().startswith("RECURSIVE "):
+        return "WITH RECURSIVE " + ", ".join(parts) + ", " + body.lstrip()[len("RECURSIVE ") :]
+    head = "WITH "
     if re.match(r"^\s*WITH\s", body, flags=re.I):
         body = re.sub(r"^\s*WITH\s+", "", body, flags=re.I)
         return head + ", ".join(parts) + ", " + body
