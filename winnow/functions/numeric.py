@@ -14,8 +14,9 @@ def let(value, body) -> Column:
 
 
 def finite(value) -> Column:
+    # NaN and infinities minus themselves are NaN, which sorts above every number.
     v = _c(value).cast("double")
-    return v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+    return F.coalesce(v - v == 0.0, F.lit(False))
 
 
 def at_least(value, bound) -> Column:

@@ -254,15 +254,13 @@ def ablation_scores(terms: Column, names: Sequence[str]) -> Column:
         return F.when(total > 0, F.aggregate(kept, F.lit(0.0), lambda s, x: s + x.score * x.weight) / total)
 
     live = F.filter(terms, lambda x: x.score.isNotNull() & (x.weight > 0))
-    items = [F.struct(F.lit("full").alias("variant"), mean(live).alias("score"))]
-    for name in names:
-        items.append(
-            F.struct(
-                F.lit(f"without_{name}").alias("variant"),
-                mean(F.filter(live, lambda x, n=name: x["name"] != n)).alias("score"),
-            )
-        )
-    return F.array(*items)
+
+    def without(name: str) -> Column:
+        kept = F.filter(live, lambda x: x["name"] != name)
+        return F.struct(F.lit(f"without_{name}").alias("variant"), mean(kept).alias("score"))
+
+    full = F.struct(F.lit("full").alias("variant"), mean(live).alias("score"))
+    return F.array(full, *[without(n) for n in names])
 
 
 def preference_report(pairs: DataFrame, *, epsilon: float = TIE_EPSILON) -> DataFrame:

@@ -10,12 +10,14 @@ All of it is one narrow stage of column expressions.
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import placement_score
 from ..functions.measures import exposure_score, fft_score, lap_score, niqe_score, region_quality
-from ..functions.numeric import above, at_least, at_most, below, finite, measurements_valid
+from ..functions.numeric import above, at_least, at_most, below, finite, let, measurements_valid
 from ..settings import DETECTION_KEYS, SEMANTIC_KEYS, Settings
 
 COMPONENTS = ("eyes", "sharpness", "face", "exposure", "smile")
@@ -30,6 +32,15 @@ FACE_TYPE = (
 )
 
 
+INPUTS = ("sharpness_lap", "sharpness_fft", "niqe", "exposure", "faces", "width", "height", "preview_source", "warnings")
+OUTPUTS = ("faces", "composition", "components", "weight_total", "score", "verdict", "evidence", "closed_eye", "valid", "usable")
+
+
+def row(**bound: Column) -> SimpleNamespace:
+    """Columns of one result by name; ``bound`` replaces some with already computed values."""
+    return SimpleNamespace(**{c: F.col(c) for c in INPUTS} | bound)
+
+
 def term(name: str | Column, score: Column, weight: Column | float) -> Column:
     label = F.lit(name) if isinstance(name, str) else name
     w = F.lit(float(weight)) if isinstance(weight, (int, float)) else weight
@@ -49,8 +60,8 @@ def observed(terms: Column) -> Column:
     return F.size(F.filter(terms, lambda t: t.score.isNotNull()))
 
 
-def sharpness_terms(settings: Settings) -> Column:
-    lap, fft, niqe = F.col("sharpness_lap"), F.col("sharpness_fft"), F.col("niqe")
+def sharpness_terms(r, settings: Settings) -> Column:
+    lap, fft, niqe = r.sharpness_lap, r.sharpness_fft, r.niqe
     has_niqe = finite(niqe) & F.lit(settings.enable_niqe)
     w = F.when(has_niqe, F.lit(float(settings.niqe_weight))).otherwise(F.lit(0.0))
     return F.array(
@@ -71,9 +82,9 @@ def _face_label(face: Column, tail: str) -> Column:
     return F.concat(F.lit("face_"), face.index.cast("string"), F.lit(tail))
 
 
-def eye_terms() -> Column:
+def eye_terms(r) -> Column:
     pairs = F.transform(
-        "faces",
+        r.faces,
         lambda f: F.array(
             term(_face_label(f, "_left_eye"), _eye_score(f.left_eye), 1.0),
             term(_face_label(f, "_right_eye"), _eye_score(f.right_eye), 1.0),
@@ -82,7 +93,7 @@ def eye_terms() -> Column:
     return F.flatten(pairs)
 
 
-def face_terms() -> Column:
+def face_terms(r) -> Column:
     def score(f: Column) -> Column:
         q = f.quality
         usable = (
@@ -97,24 +108,24 @@ def face_terms() -> Column:
             region_quality(q.sharpness_lap, q.shadow_clip, q.highlight_clip, q.crop_width, q.crop_height),
         )
 
-    return F.transform("faces", lambda f: term(_face_label(f, "_quality"), score(f), 1.0))
+    return F.transform(r.faces, lambda f: term(_face_label(f, "_quality"), score(f), 1.0))
 
 
-def smile_terms() -> Column:
-    return F.transform("faces", lambda f: term(_face_label(f, "_smile"), f.smile_score * 100.0, 1.0))
+def smile_terms(r) -> Column:
+    return F.transform(r.faces, lambda f: term(_face_label(f, "_smile"), f.smile_score * 100.0, 1.0))
 
 
-def exposure_terms() -> Column:
-    e = F.col("exposure")
+def exposure_terms(r) -> Column:
+    e = r.exposure
     ok = finite(e.mean) & finite(e.shadow_clip) & finite(e.highlight_clip)
-    placed = F.col("composition").isNotNull()
+    placed = r.composition.isNotNull()
     return F.array(
         term(
             "exposure",
             F.when(ok, exposure_score(e.shadow_clip, e.highlight_clip)),
             F.when(placed, 0.75).otherwise(1.0),
         ),
-        term("composition", F.col("composition").score, F.when(placed, 0.25).otherwise(0.0)),
+        term("composition", r.composition.score, F.when(placed, 0.25).otherwise(0.0)),
     )
 
 
@@ -135,19 +146,19 @@ def sanitize_eyes(faces: str | Column = "faces") -> Column:
     )
 
 
-def composition(minimum_confidence: float = 0.55) -> Column:
+def composition(r, minimum_confidence: float = 0.55) -> Column:
     """struct<x, y, score>: area-and-confidence centroid of placed boxes and its placement score."""
 
     def point(f: Column) -> Column:
         b = f.bbox
         return F.struct(
-            ((b.x + b.w / 2) / F.col("width")).alias("x"),
-            ((b.y + b.h / 2) / F.col("height")).alias("y"),
+            ((b.x + b.w / 2) / r.width).alias("x"),
+            ((b.y + b.h / 2) / r.height).alias("y"),
             (b.w * b.h * f.confidence).alias("weight"),
         )
 
     usable = F.filter(
-        "faces",
+        r.faces,
         lambda f: finite(f.bbox.x)
         & finite(f.bbox.y)
         & above(f.bbox.w, 0)
@@ -170,135 +181,186 @@ def composition(minimum_confidence: float = 0.55) -> Column:
             (a.weight + p.weight).alias("weight"),
         ),
     )
-    x, y = total.x / total.weight, total.y / total.weight
-    return F.when(
-        (F.col("width") > 0) & (F.col("height") > 0) & (total.weight > 0),
-        F.struct(x.alias("x"), y.alias("y"), placement_score(x, y).alias("score")),
-    )
 
+    def placed(t: Column) -> Column:
+        middle = F.struct((t.x / t.weight).alias("x"), (t.y / t.weight).alias("y"))
+        point = let(middle, lambda m: F.struct(m.x.alias("x"), m.y.alias("y"), placement_score(m.x, m.y).alias("score")))
+        return F.when((r.width > 0) & (r.height > 0) & (t.weight > 0), point)
+
+    return let(total, placed)
+
+
+def _components(r, settings: Settings) -> Column:
+    """array of component structs before weights are renormalised."""
+    n = F.size(r.faces)
+    build = {
+        "eyes": (eye_terms(r), n * 2),
+        "sharpness": (sharpness_terms(r, settings), F.lit(3)),
+        "face": (face_terms(r), n),
+        "exposure": (exposure_terms(r), F.lit(2)),
+        "smile": (smile_terms(r), n),
+    }
+
+    def component(name: str, terms: Column, total: Column) -> Column:
+        weight = F.lit(float(getattr(settings, f"{name}_weight")))
+        return let(
+            terms,
+            lambda t: F.struct(
+                F.lit(name).alias("id"),
+                weighted_mean(t).alias("score"),
+                weight.alias("configured_weight"),
+                observed(t).alias("observed_count"),
+                total.alias("total_count"),
+                t.alias("terms"),
+            ),
+        )
+
+    return F.array(*[component(name, *parts) for name, parts in build.items()])
 
-def breakdown(df: DataFrame, settings: Settings) -> DataFrame:
-    """Adds ``components`` and ``score``; contributions sum to the score."""
-    out = df.withColumn("composition", composition()).withColumn(
-        "__terms",
-        F.struct(
-            eye_terms().alias("eyes"),
-            sharpness_terms(settings).alias("sharpness"),
-            face_terms().alias("face"),
-            exposure_terms().alias("exposure"),
-            smile_terms().alias("smile"),
-        ),
-    )
-    n = F.size("faces")
-    totals = {"eyes": n * 2, "sharpness": F.lit(3), "face": n, "exposure": F.lit(2), "smile": n}
-    parts = [
-        F.struct(
-            F.lit(c).alias("id"),
-            weighted_mean(F.col("__terms")[c]).alias("score"),
-            F.lit(float(getattr(settings, f"{c}_weight"))).alias("configured_weight"),
-            observed(F.col("__terms")[c]).alias("observed_count"),
-            totals[c].alias("total_count"),
-            F.col("__terms")[c].alias("terms"),
+
+def _weigh(parts: Column, total: Column) -> Column:
+    def weigh(p: Column) -> Column:
+        weight = F.when(p.score.isNotNull() & (total > 0), p.configured_weight / total).otherwise(0.0)
+        return let(
+            weight,
+            lambda w: p.withField("effective_weight", w).withField(
+                "contribution", F.coalesce(p.score, F.lit(0.0)) * w
+            ),
         )
-        for c in COMPONENTS
-    ]
-    out = out.withColumn("__parts", F.array(*parts)).withColumn(
-        "weight_total",
-        F.aggregate(
-            F.filter("__parts", lambda p: p.score.isNotNull()), F.lit(0.0), lambda s, p: s + p.configured_weight
-        ),
-    )
-    out = out.withColumn(
-        "components",
-        F.transform(
-            "__parts",
-            lambda p: p.withField(
-                "effective_weight",
-                F.when(p.score.isNotNull() & (F.col("weight_total") > 0), p.configured_weight / F.col("weight_total")).otherwise(0.0),
+
+    return F.transform(parts, weigh)
+
+
+def _configured(parts: Column) -> Column:
+    live = F.filter(parts, lambda p: p.score.isNotNull())
+    return F.aggregate(live, F.lit(0.0), lambda s, p: s + p.configured_weight)
+
+
+def _scored(settings: Settings) -> Column:
+    """Everything derived from one row as a single struct.
+
+    Intermediate values are bound once. Written as a chain of columns, each
+    later mention would be inlined when a filter on the verdict is pushed down,
+    and the expression would grow exponentially.
+    """
+
+    def finish(faces, placed, parts, total, components) -> Column:
+        score = F.aggregate(components, F.lit(0.0), lambda s, p: s + p.contribution)
+
+        def judge(value: Column) -> Column:
+            r = row(faces=faces, composition=placed, score=value)
+            checks = F.struct(
+                closed_eye(r).alias("closed"), valid_measurements(r).alias("valid"), omitted_faces(r).alias("omitted"), raw_preview(r).alias("raw")
+            )
+            return let(checks, lambda c: decide(r, value, c))
+
+        def decide(r, value, c) -> Column:
+            r.closed, r.valid, r.omitted, r.raw = c.closed, c.valid, c.omitted, c.raw
+            both = F.struct(verdict(r, settings).alias("verdict"), evidence(r).alias("evidence"))
+            return let(
+                both,
+                lambda b: F.struct(
+                    faces.alias("faces"),
+                    placed.alias("composition"),
+                    components.alias("components"),
+                    total.alias("weight_total"),
+                    value.alias("score"),
+                    b.verdict.alias("verdict"),
+                    b.evidence.alias("evidence"),
+                    c.closed.alias("closed_eye"),
+                    c.valid.alias("valid"),
+                    usable(r, b.verdict, b.evidence).alias("usable"),
+                ),
+            )
+
+        return let(score, judge)
+
+    def with_parts(faces, placed):
+        return let(
+            _components(row(faces=faces, composition=placed), settings),
+            lambda parts: let(
+                _configured(parts),
+                lambda total: let(
+                    _weigh(parts, total), lambda components: finish(faces, placed, parts, total, components)
+                ),
             ),
-        ),
-    ).withColumn(
-        "components",
-        F.transform(
-            "components",
-            lambda p: p.withField("contribution", F.coalesce(p.score, F.lit(0.0)) * p.effective_weight),
-        ),
+        )
+
+    return let(
+        sanitize_eyes(),
+        lambda faces: let(composition(row(faces=faces)), lambda placed: with_parts(faces, placed)),
     )
-    return out.withColumn(
-        "score", F.aggregate("components", F.lit(0.0), lambda s, p: s + p.contribution)
-    ).drop("__terms", "__parts")
 
 
-def _eyes() -> Column:
-    return F.flatten(F.transform("faces", lambda f: F.array(f.left_eye, f.right_eye)))
+def _eyes(faces: Column) -> Column:
+    return F.flatten(F.transform(faces, lambda f: F.array(f.left_eye, f.right_eye)))
 
 
-def closed_eye() -> Column:
-    return F.coalesce(F.exists(_eyes(), lambda e: e.state == "closed"), F.lit(False))
+def closed_eye(r) -> Column:
+    return F.coalesce(F.exists(_eyes(r.faces), lambda e: e.state == "closed"), F.lit(False))
 
 
-def omitted_faces() -> Column:
-    return F.coalesce(F.exists("warnings", lambda w: w.contains("omitted faces")), F.lit(False))
+def omitted_faces(r) -> Column:
+    return F.coalesce(F.exists(r.warnings, lambda w: w.contains("omitted faces")), F.lit(False))
 
 
-def raw_preview() -> Column:
-    return F.coalesce(F.col("preview_source").startswith("raw_"), F.lit(False))
+def raw_preview(r) -> Column:
+    return F.coalesce(r.preview_source.startswith("raw_"), F.lit(False))
 
 
-def valid_measurements() -> Column:
+def valid_measurements(r) -> Column:
+    e = r.exposure
     return measurements_valid(
-        ["sharpness_lap", "sharpness_fft", "exposure.mean", "exposure.shadow_clip", "exposure.highlight_clip", "score"],
-        ["exposure.shadow_clip", "exposure.highlight_clip"],
+        [r.sharpness_lap, r.sharpness_fft, e.mean, e.shadow_clip, e.highlight_clip, r.score], [e.shadow_clip, e.highlight_clip]
     )
 
 
-def can_recommend(threshold: float) -> Column:
-    eyes_open = F.forall(_eyes(), lambda e: F.coalesce(e.state == "open", F.lit(False)))
+def can_recommend(r, threshold: float) -> Column:
+    eyes_open = F.forall(_eyes(r.faces), lambda e: F.coalesce(e.state == "open", F.lit(False)))
     return (
-        ((F.size("faces") == 0) | eyes_open)
-        & ~omitted_faces()
-        & valid_measurements()
-        & at_least("sharpness_lap", 8.0)
-        & at_least("score", float(threshold))
-        & at_most("exposure.shadow_clip", 0.1)
-        & at_most("exposure.highlight_clip", 0.1)
+        ((F.size(r.faces) == 0) | eyes_open)
+        & ~r.omitted
+        & r.valid
+        & at_least(r.sharpness_lap, 8.0)
+        & at_least(r.score, float(threshold))
+        & at_most(r.exposure.shadow_clip, 0.1)
+        & at_most(r.exposure.highlight_clip, 0.1)
     )
 
 
-def verdict(settings: Settings) -> Column:
-    severe = below("sharpness_lap", 8.0) & (
-        below("exposure.mean", 35)
-        | above("exposure.mean", 225)
-        | above("exposure.shadow_clip", 0.65)
-        | above("exposure.highlight_clip", 0.65)
+def verdict(r, settings: Settings) -> Column:
+    e = r.exposure
+    severe = below(r.sharpness_lap, 8.0) & (
+        below(e.mean, 35) | above(e.mean, 225) | above(e.shadow_clip, 0.65) | above(e.highlight_clip, 0.65)
     )
     return (
-        F.when(closed_eye(), "review")
-        .when(severe & below("score", float(settings.reject_threshold)) & ~raw_preview(), "reject_suggest")
-        .when(can_recommend(settings.recommend_threshold), "recommend")
+        F.when(r.closed, "review")
+        .when(severe & below(r.score, float(settings.reject_threshold)) & ~r.raw, "reject_suggest")
+        .when(can_recommend(r, settings.recommend_threshold), "recommend")
         .otherwise("review")
     )
 
 
-def evidence() -> Column:
+def evidence(r) -> Column:
     """array<struct<code, kind>> of the reasons behind a result; absence of evidence is a limitation."""
-    unsure = F.exists(_eyes(), lambda e: e.isNull() | (e.state == "uncertain"))
+    e = r.exposure
+    unsure = F.exists(_eyes(r.faces), lambda eye: eye.isNull() | (eye.state == "uncertain"))
     small = F.exists(
-        "faces", lambda f: f.quality.isNull() | (F.least(f.quality.crop_width, f.quality.crop_height) < 32)
+        r.faces, lambda f: f.quality.isNull() | (F.least(f.quality.crop_width, f.quality.crop_height) < 32)
     )
     rules = [
         ("preview_measurement", "context", F.lit(True)),
-        ("no_face_detected", "context", F.size("faces") == 0),
-        ("closed_eye_review", "observation", closed_eye()),
+        ("no_face_detected", "context", F.size(r.faces) == 0),
+        ("closed_eye_review", "observation", r.closed),
         ("eye_evidence_limited", "limitation", unsure),
         ("face_detail_limited", "limitation", small),
-        ("tonal_style_review", "context", below("exposure.mean", 60) | above("exposure.mean", 200)),
-        ("preview_shadow_clip", "observation", above("exposure.shadow_clip", 0.1)),
-        ("preview_highlight_clip", "observation", above("exposure.highlight_clip", 0.1)),
-        ("raw_recovery_unknown", "limitation", raw_preview()),
-        ("low_preview_detail", "observation", below("sharpness_lap", 8.0)),
-        ("invalid_measurements", "limitation", ~valid_measurements()),
-        ("omitted_faces", "limitation", omitted_faces()),
+        ("tonal_style_review", "context", below(e.mean, 60) | above(e.mean, 200)),
+        ("preview_shadow_clip", "observation", above(e.shadow_clip, 0.1)),
+        ("preview_highlight_clip", "observation", above(e.highlight_clip, 0.1)),
+        ("raw_recovery_unknown", "limitation", r.raw),
+        ("low_preview_detail", "observation", below(r.sharpness_lap, 8.0)),
+        ("invalid_measurements", "limitation", ~r.valid),
+        ("omitted_faces", "limitation", r.omitted),
     ]
     return F.filter(
         F.array(
@@ -307,32 +369,25 @@ def evidence() -> Column:
                 for code, kind, test in rules
             ]
         ),
-        lambda r: r.isNotNull(),
+        lambda x: x.isNotNull(),
     )
 
 
-def usable() -> Column:
+def usable(r, decided: Column, reasons: Column) -> Column:
     """May this row stand as a comparison reference?"""
     blocking = F.exists(
-        "evidence",
-        lambda r: ((r.kind == "limitation") & (r.code != "raw_recovery_unknown")) | (r.code == "closed_eye_review"),
-    )
-    return (
-        valid_measurements()
-        & at_least("sharpness_lap", 8.0)
-        & (F.col("verdict") != "reject_suggest")
-        & ~blocking
+        reasons,
+        lambda x: ((x.kind == "limitation") & (x.code != "raw_recovery_unknown")) | (x.code == "closed_eye_review"),
     )
+    return r.valid & at_least(r.sharpness_lap, 8.0) & (decided != "reject_suggest") & ~blocking
 
 
 def rescore(df: DataFrame, settings: Settings) -> DataFrame:
-    """Score, verdict and evidence of stored features under ``settings``."""
-    out = breakdown(df.withColumn("faces", sanitize_eyes()), settings)
+    """Components, score, verdict and evidence of stored features under ``settings``."""
+    keep = [c for c in df.columns if c not in (*OUTPUTS, "settings_key")]
     return (
-        out.withColumn("verdict", verdict(settings))
-        .withColumn("evidence", evidence())
-        .withColumn("closed_eye", closed_eye())
-        .withColumn("usable", usable())
+        df.withColumn("__scored", _scored(settings))
+        .select(*keep, *[F.col(f"__scored.{c}").alias(c) for c in OUTPUTS])
         .withColumn("settings_key", F.lit(settings.canonical()))
     )
 
@@ -361,16 +416,14 @@ def apply_settings(rows: DataFrame, old: Settings, new: Settings) -> tuple[DataF
     stale = rows.filter(~F.col("settings_key").eqNullSafe(F.lit(old.canonical()))).select("photo_id")
     if kind == "restamp":
         return current.withColumn("settings_key", F.lit(new.canonical())), stale
-    keep = [c for c in rows.columns if c not in ("score", "verdict", "evidence", "closed_eye", "usable", "components", "weight_total", "composition", "settings_key")]
-    return rescore(current.select(*keep), new), stale
+    return rescore(current, new), stale
 
 
 def settings_impact(rows: DataFrame, old: Settings, new: Settings) -> DataFrame:
     """Verdict counts under both settings, one row per (before, after); nothing is written."""
-    keys = [c for c in rows.columns if c not in ("score", "verdict")]
-    before = rescore(rows.select(*keys), old).select("photo_id", *keys[1:], F.col("verdict").alias("before"))
-    both = rescore(before.select(*keys, "before"), new)
-    return both.groupBy("before", F.col("verdict").alias("after")).agg(F.count("*").alias("n"))
+    old_, new_ = _scored(old).verdict, _scored(new).verdict
+    both = rows.select(old_.alias("before"), new_.alias("after"))
+    return both.groupBy("before", "after").agg(F.count("*").alias("n"))
 
 
 def audit_scores(scored: DataFrame, tolerance: float = 1e-7) -> DataFrame:
@@ -379,19 +432,20 @@ def audit_scores(scored: DataFrame, tolerance: float = 1e-7) -> DataFrame:
     def off(a: Column, b: Column) -> Column:
         return F.coalesce(F.abs(a - b) > tolerance, F.lit(True))
 
-    total = F.aggregate(
-        F.filter("components", lambda c: c.score.isNotNull()), F.lit(0.0), lambda s, c: s + c.configured_weight
-    )
-    weight = lambda c: F.when(c.score.isNotNull() & (total > 0), c.configured_weight / total).otherwise(0.0)
-    bad = F.exists(
-        "components",
-        lambda c: off(c.effective_weight, weight(c))
-        | off(c.contribution, F.coalesce(c.score, F.lit(0.0)) * weight(c))
-        | ~c.observed_count.between(0, c.total_count)
-        | (c.score.isNotNull() & (~finite(c.score) | ~c.score.between(0.0, 100.0 + tolerance)))
-        | off(F.coalesce(c.score, F.lit(0.0)), F.coalesce(weighted_mean(c.terms), F.lit(0.0))),
-    )
-    summed = F.aggregate("components", F.lit(0.0), lambda s, c: s + c.contribution)
-    return scored.filter(
-        (F.size("components") != len(COMPONENTS)) | off(total, F.col("weight_total")) | off(summed, F.col("score")) | bad
-    )
+    def wrong(parts: Column, stored: Column, score: Column, total: Column) -> Column:
+        def part(c: Column) -> Column:
+            weight = F.when(c.score.isNotNull() & (total > 0), c.configured_weight / total).otherwise(0.0)
+            value = F.coalesce(c.score, F.lit(0.0))
+            return (
+                off(c.effective_weight, weight)
+                | off(c.contribution, value * weight)
+                | ~c.observed_count.between(0, c.total_count)
+                | (c.score.isNotNull() & (~finite(c.score) | ~c.score.between(0.0, 100.0 + tolerance)))
+                | off(value, F.coalesce(weighted_mean(c.terms), F.lit(0.0)))
+            )
+
+        summed = F.aggregate(parts, F.lit(0.0), lambda s, c: s + c.contribution)
+        return (F.size(parts) != len(COMPONENTS)) | off(total, stored) | off(summed, score) | F.exists(parts, part)
+
+    facts = F.struct(F.col("components").alias("c"), F.col("weight_total").alias("w"), F.col("score").alias("s"))
+    return scored.filter(let(facts, lambda f: let(_configured(f.c), lambda t: wrong(f.c, f.w, f.s, t))))

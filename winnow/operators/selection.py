@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite
-from ..session import require_empty
+from ..session import cut, require_empty
 from .ranking import rank_within
 
 CLOSE_GAP = 5.0
@@ -25,7 +25,7 @@ def best_reference(members: DataFrame, *, group: Sequence[str], id: str = "photo
 
     Two fixed-width aggregates instead of one over structs keep hash aggregation.
     """
-    live = members.filter(F.col(ok))
+    live = members.select(*group, id, score, ok).filter(F.col(ok))
     top = live.groupBy(*group).agg(F.max(score).alias("reference_score"))
     return (
         live.join(top, list(group))
@@ -41,6 +41,8 @@ def assess_groups(members: DataFrame, *, group: Sequence[str], id: str = "photo_
     ``members``: group, id, score, verdict, usable, valid, face_count, face_score,
     sharpness_score; an unanalysed member has NULLs and stays visible.
     """
+    # The scored columns are read three times below; they are computed once.
+    members = cut(members.select(*group, id, "score", "verdict", "usable", "valid", "face_count", "face_score", "sharpness_score"))
     ref = best_reference(members.withColumn("usable", F.coalesce("usable", F.lit(False))), group=group, id=id)
     facts = members.select(
         *group,
@@ -165,6 +167,7 @@ def compare_members(members: DataFrame, *, request: str = "request_id", id: str
     The reference is the chosen row, else the best usable one, else the first
     analysed member. Requests hold 2..32 rows.
     """
+    members = cut(members.select(request, id, "pos", "score", "usable", "exposure_mean", "face_count"))
     best = best_reference(members.withColumn("usable", F.coalesce("usable", F.lit(False))), group=[request], id=id)
     first = (
         members.filter(F.col("score").isNotNull())
@@ -251,6 +254,7 @@ def plan_selection(members: DataFrame, intents: DataFrame, locks: DataFrame, *,
     ``members``: group, id, decision, usable, score, main_score (NULL when the main
     face is unknown). ``intents``: group, target_keep, has_main.
     """
+    members = cut(members.select(*group, id, "decision", "usable", "score", "main_score"))
     flag = locks.select(id).distinct().withColumn("__lock", F.lit(True))
     rows = (
         members.join(flag, id, "left")

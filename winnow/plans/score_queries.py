@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, measures
 from ..operators import scoring, selection
+from ..session import cut
 from ..settings import Settings
 from .registry import query
 
@@ -200,7 +201,7 @@ def members(d):
         "score",
         "verdict",
         "usable",
-        scoring.valid_measurements().alias("valid"),
+        "valid",
         F.size("faces").alias("face_count"),
         component("face").alias("face_score"),
         component("sharpness").alias("sharpness_score"),
@@ -218,7 +219,7 @@ REFS = """ok AS (SELECT *, good AND verdict <> 'reject_suggest' AS usable FROM s
 
 @query("best_references", "E7", f"WITH {SCORED}, {REFS} SELECT group_id, reference_id, round(reference_score, 6) AS reference_score FROM refs", ["shots", "faces"])
 def best_references(d):
-    out = selection.best_reference(members(d), group=["group_id"])
+    out = selection.best_reference(cut(members(d).select("group_id", "photo_id", "score", "usable")), group=["group_id"])
     return out.select("group_id", "reference_id", F.round("reference_score", 6).alias("reference_score"))
 
 
