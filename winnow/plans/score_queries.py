@@ -131,7 +131,7 @@ def measurement_validity(d):
 
 @query("measure_mappings", "H8 H9 H10 H16", f"""
 SELECT photo_id, round({sql_lap('sharpness_lap')}, 6) AS lap, round({sql_exposure('shadow_clip', 'highlight_clip')}, 6) AS exposure, round(100 * sqrt(sharpness_fft), 6) AS fft,
-  round(greatest(0, least(100, 100 - greatest(niqe - 2, 0) * 12.5)), 6) AS niqe,
+  CASE WHEN niqe IS NOT NULL THEN round(greatest(0, least(100, 100 - greatest(niqe - 2, 0) * 12.5)), 6) END AS niqe,
   CASE WHEN exposure_mean < 70 OR shadow_clip > 0.35 THEN 'underexposed' WHEN exposure_mean > 188 OR highlight_clip > 0.25 THEN 'overexposed' ELSE 'normal' END AS class FROM shots""", ["shots"])
 def measure_mappings(d):
     return d.shots.select(
