@@ -164,7 +164,9 @@ def best_assignment(weight: np.ndarray) -> list[tuple[int, int]]:
         j = max(ends, key=lambda e: (gain[e], -e))
         while j >= 0:
             i = back[j]
-            j, row[i], col[j] = row[i], j, i
+            previous = row[i]
+            row[i], col[j] = j, i
+            j = previous
 
 
 def detection_counts(predicted: DataFrame, truth: DataFrame, matches: DataFrame, *, by: Sequence[str]) -> DataFrame:

@@ -12,6 +12,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
@@ -247,9 +249,7 @@ class Data:
         Two 31-bit counters share a long, so 32 sums cover 64 bits; a document's
         tokens never leave their task before the partial sums.
         """
-        from ..functions.vectors import all_finite  # noqa: F401
-
-        tokens = self.documents.select("doc_id", "source", F.explode(F.split("text", " ", -1)).alias("t"))
+        tokens = spread(self.documents.select("doc_id", "source", "text"), "doc_id").select("doc_id", "source", F.explode(F.split("text", " ", -1)).alias("t"))
         h = F.conv(F.substring(F.md5("t"), 1, 16), 16, -10).cast("long")
         hashed = tokens.select("doc_id", "source", h.alias("h"))
         sums = [
@@ -296,7 +296,7 @@ class Data:
         """Shots with nested faces, ready for scoring; a pure projection of orders."""
         from ..operators.scoring import FACE_TYPE
 
-        return self.shots.withColumns(
+        return spread(self.shots, "photo_id").withColumns(
             {
                 "faces": F.expr(FACES.replace("FACE_TYPE", FACE_TYPE)),
                 "exposure": F.struct(

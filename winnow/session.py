@@ -73,6 +73,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use idle cores for CPU-heavy column work on an input with too few splits.
+
+    A no-op on inputs that already have a split per core, which is every large
+    table; a small file with one row group is hashed over the cores once.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots, *keys) if df.rdd.getNumPartitions() < slots else df
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Optimizer's size estimate; exact for tables that were just written."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
