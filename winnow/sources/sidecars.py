@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import xml.parsers.expat
 from urllib.parse import quote, unquote, urljoin, urlparse
 
@@ -142,7 +143,7 @@ class _Spans:
     def end(self, name: str):
         node = self.stack.pop()
         at = self.p.CurrentByteIndex
-        empty = self.data[node["open_end"] - 2 : node["open_end"]] == b"/>" and at == node["at"]
+        empty = self.data[node["open_end"] - 2 : node["open_end"]] == b"/>"
         stop = node["open_end"] if empty else self.tag_end(at)
         if node["rdf"]:
             self.roots.append([node["at"], node["open_end"], None if empty else at, stop, node["base"]])
@@ -159,8 +160,6 @@ class _Spans:
 
     def attribute_spans(self, node: dict, mine: list[str]) -> list[tuple[int, int]]:
         """Locate owned attributes in the raw start tag by their local names and values' quotes."""
-        import re
-
         raw = self.data[node["at"] : node["open_end"]]
         spans = []
         for m in re.finditer(rb"\s([^\s=/>'\"]+)\s*=\s*('[^']*'|\"[^\"]*\")", raw):
@@ -172,8 +171,6 @@ class _Spans:
         return spans
 
     def prefix_owned(self, prefix: str, local: str, node: dict) -> bool:
-        import re
-
         want = XMP if local in ("Rating", "Label") else self.ns
         decl = re.compile(rb"xmlns:" + re.escape(prefix.encode()) + rb"\s*=\s*['\"]([^'\"]*)['\"]")
         for scope in [*reversed([n for n in self.stack] + [node])]:
