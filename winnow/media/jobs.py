@@ -84,8 +84,13 @@ def extract_features(images: DataFrame, *, naturalness: bool = True) -> DataFram
 
 
 def measure_regions(images: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Quality of every box of every image (pixels: x, y, w, h); boxes join to their image by path."""
-    listed = boxes.groupBy("path").agg(F.collect_list(F.struct("box_id", "x", "y", "w", "h")).alias("boxes"))
+    """Quality of every box of every image (pixels: x, y, w, h); boxes join to their image by path.
+
+    An image with very many boxes is measured in several rows of about 500 boxes.
+    """
+    sizes = boxes.groupBy("path").agg(F.ceil(F.count("*") / 500).alias("lots"))
+    split = boxes.join(sizes, "path").withColumn("lot", F.pmod(F.xxhash64("box_id"), F.col("lots")))
+    listed = split.groupBy("path", "lot").agg(F.collect_list(F.struct("box_id", "x", "y", "w", "h")).alias("boxes"))
 
     def measure(rgb: np.ndarray, r) -> dict:
         found = [(b["box_id"], pixels.region(rgb, b["x"], b["y"], b["w"], b["h"])) for b in r.boxes]

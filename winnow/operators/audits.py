@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
 from ..session import require_empty
+from .ranking import exact_percentiles
 
 
 def key_differences(before: DataFrame, after: DataFrame, *, key: Sequence[str]) -> DataFrame:
@@ -35,9 +36,9 @@ def transitions(pairs: DataFrame, column: str) -> DataFrame:
 
 
 def summary(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*by).agg(
-        F.min(value).alias("min"), F.percentile(value, F.lit(0.5)).alias("median"), F.max(value).alias("max")
-    )
+    """min, median and max, the median by position rather than from a collected column."""
+    spread = exact_percentiles(df, value=value, quantiles=[0.0, 0.5, 1.0], by=by)
+    return spread.select(*by, F.col("p0").alias("min"), F.col("p50").alias("median"), F.col("p100").alias("max"))
 
 
 def frozen_differences(pairs: DataFrame, *, key: Sequence[str], frozen: Sequence[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import iou
 from ..functions.numeric import ratio
 from ..session import cut, require_empty
+from .ranking import exact_percentiles
 
 TIE_EPSILON = 1e-9
 # Reasons a person may give for an ungradable label.
@@ -311,10 +312,7 @@ def preference_report(pairs: DataFrame, *, epsilon: float = TIE_EPSILON) -> Data
 
 def percentiles(df: DataFrame, *, value: str, quantiles: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact percentiles with linear interpolation."""
-    return df.groupBy(*by).agg(
-        F.count(value).alias("n"),
-        *[F.percentile(value, F.lit(q)).alias(f"p{round(q * 100)}") for q in quantiles],
-    )
+    return exact_percentiles(df, value=value, quantiles=quantiles, by=by)
 
 
 def group_keys(groups: DataFrame, *, group: Sequence[str], id: str = "photo_id") -> DataFrame:

@@ -156,3 +156,37 @@ def running_total(df: DataFrame, *, order: Sequence[Column], amount: str, name:
         .withColumn(name, F.col("__start") + F.col("__run"))
         .drop("__part", "__start", "__run")
     )
+
+
+def exact_percentiles(df: DataFrame, *, value: str, quantiles: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by, n, one column per quantile): exact percentiles with linear interpolation.
+
+    Values are counted, put in one range-partitioned order per (group, value) and
+    addressed by position, so neither a hot group nor a column of all-distinct
+    values is ever held by one task.
+    """
+    keys = list(by)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    ends = running_total(counts, order=[*[F.col(k) for k in keys], F.col(value)], amount="__n", name="__end")
+    ends = ends.withColumn("__first", F.col("__end") - F.col("__n"))
+    spans = ends.groupBy(*keys).agg(F.min("__first").alias("__base"), F.sum("__n").alias("__total"))
+    # Without keys there is exactly one span row.
+    rows = ends.join(spans, keys) if keys else ends.join(F.broadcast(spans))
+    picks, last = [], F.col("__total") - 1
+    for q in quantiles:
+        low = F.floor(last * F.lit(float(q))) + F.col("__base")
+        high = F.ceil(last * F.lit(float(q))) + F.col("__base")
+        for name, at in (("lo", low), ("hi", high)):
+            inside = (F.col("__first") <= at) & (at < F.col("__end"))
+            picks.append(F.max(F.when(inside, F.col(value))).alias(f"__{name}{_label(q)}"))
+    found = rows.groupBy(*keys).agg(F.max("__total").alias("n"), *picks)
+    out = []
+    for q in quantiles:
+        place = (F.col("n") - 1) * F.lit(float(q))
+        lo, hi = F.col(f"__lo{_label(q)}"), F.col(f"__hi{_label(q)}")
+        out.append((lo + (hi - lo) * (place - F.floor(place))).alias(_label(q)))
+    return found.select(*keys, "n", *out)
+
+
+def _label(q: float) -> str:
+    return f"p{round(q * 100)}"

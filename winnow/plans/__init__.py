@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("catalog_queries", "group_queries", "score_queries", "evaluation_queries", "stream_queries")
+FAMILIES = ("catalog_queries", "group_queries", "score_queries", "evaluation_queries", "stream_queries", "media_queries")
 
 
 def load():
