@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clamp
+from ..functions.numeric import clamp, let
 from ..media import jobs
 from ..operators import groups, retrieval
 from ..session import spread
@@ -16,30 +16,34 @@ from .registry import query
 # Each vector becomes a 32 x 32 grey picture: every element fills a 4 x 4 block.
 PIXELS = """px AS MATERIALIZED (SELECT vec_id, y, x, CAST(least(255, greatest(0, floor(128 + CAST(embedding[(y // 4) * 8 + x // 4 + 1] AS DOUBLE) * 400))) AS BIGINT) AS p
   FROM embeddings, (SELECT unnest(range(32)) AS y), (SELECT unnest(range(32)) AS x))"""
-LAP = """lap AS (SELECT c.vec_id, l.p + r.p + u.p + d.p - 4 * c.p AS v FROM px c JOIN px l ON l.vec_id = c.vec_id AND l.y = c.y AND l.x = c.x - 1 JOIN px r ON r.vec_id = c.vec_id AND r.y = c.y AND r.x = c.x + 1
-  JOIN px u ON u.vec_id = c.vec_id AND u.y = c.y - 1 AND u.x = c.x JOIN px d ON d.vec_id = c.vec_id AND d.y = c.y + 1 AND d.x = c.x {0})"""
+LAP = """nb AS (SELECT vec_id, y, x, lag(p) OVER h + lead(p) OVER h + lag(p) OVER v + lead(p) OVER v - 4 * p AS v FROM px
+  WINDOW h AS (PARTITION BY vec_id, y ORDER BY x), v AS (PARTITION BY vec_id, x ORDER BY y)), lap AS (SELECT vec_id, v FROM nb WHERE v IS NOT NULL AND {0})"""
 
 
 def pictures(d):
     level = F.transform("embedding", lambda v: clamp(F.floor(128 + v.cast("double") * 400), 0, 255).cast("long"))
-    cells = F.transform(
-        F.sequence(F.lit(0), F.lit(1023)),
-        lambda k: F.lpad(F.hex(F.get(F.col("level"), (F.floor(k / 128) * 8 + F.floor((k % 32) / 4)).cast("int"))), 2, "0"),
-    )
-    return (
-        spread(d.embeddings, "vec_id")
-        .select(F.col("vec_id").cast("string").alias("path"), level.alias("level"))
-        .select(
-            "path", F.lit(32).alias("height"), F.lit(32).alias("width"), F.lit(1).alias("nChannels"),
-            F.unhex(F.array_join(cells, "")).alias("data"),
+
+    def text(levels):
+        """Each row of eight values once per picture row, four times over."""
+        wide = F.transform(levels, lambda v: F.repeat(F.lpad(F.hex(v), 2, "0"), F.lit(4)))
+        lines = F.transform(
+            F.sequence(F.lit(0), F.lit(7)), lambda y: F.repeat(F.array_join(F.slice(wide, y * 8 + 1, F.lit(8)), ""), F.lit(4))
         )
+        return F.array_join(lines, "")
+
+    return spread(d.embeddings, "vec_id").select(
+        F.col("vec_id").cast("string").alias("path"),
+        F.lit(32).alias("height"),
+        F.lit(32).alias("width"),
+        F.lit(1).alias("nChannels"),
+        F.unhex(let(level, text)).alias("data"),
     )
 
 
 @query("image_measurements", "M1 M4 A9", f"""
-WITH {PIXELS}, {LAP.format('')}
+WITH {PIXELS}, {LAP.format('true')}
 SELECT CAST(vec_id AS VARCHAR) AS path, round(mean, 4) AS mean, shadow_clip, highlight_clip, round(sharpness_lap, 3) AS sharpness_lap, round(mean / 255 * 64, 3) AS structure_total
-FROM (SELECT vec_id, avg(p) AS mean, avg(CASE WHEN p < 8 THEN 1.0 ELSE 0.0 END) AS shadow_clip, avg(CASE WHEN p > 247 THEN 1.0 ELSE 0.0 END) AS highlight_clip FROM px GROUP BY 1)
+FROM (SELECT vec_id, avg(p) AS mean, avg(CASE WHEN 0.299e0 * p + 0.587e0 * p + 0.114e0 * p < 8 THEN 1.0 ELSE 0.0 END) AS shadow_clip, avg(CASE WHEN 0.299e0 * p + 0.587e0 * p + 0.114e0 * p > 247 THEN 1.0 ELSE 0.0 END) AS highlight_clip FROM px GROUP BY 1)
 JOIN (SELECT vec_id, var_pop(v) AS sharpness_lap FROM lap GROUP BY 1) USING (vec_id)""".replace(", round(mean / 255 * 64, 3) AS structure_total", ""))
 def image_measurements(d):
     out = jobs.extract_features(pictures(d), naturalness=False)
@@ -64,7 +68,7 @@ def image_scopes(d):
 
 
 @query("image_regions", "M5", f"""
-WITH {PIXELS}, {LAP.format('WHERE c.x BETWEEN 1 AND 14 AND c.y BETWEEN 1 AND 14')}
+WITH {PIXELS}, {LAP.format('x BETWEEN 1 AND 14 AND y BETWEEN 1 AND 14')}
 SELECT CAST(vec_id AS VARCHAR) AS path, round(mean, 4) AS mean, round(sharpness_lap, 3) AS sharpness_lap
 FROM (SELECT vec_id, avg(p) AS mean FROM px WHERE x < 16 AND y < 16 GROUP BY 1) JOIN (SELECT vec_id, var_pop(v) AS sharpness_lap FROM lap GROUP BY 1) USING (vec_id)""")
 def image_regions(d):
