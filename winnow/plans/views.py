@@ -223,6 +223,8 @@ class Data:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        # Naive times are read as UTC on both sides.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         self._made: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
