@@ -45,19 +45,17 @@ def local_session(cores: int | str = 8, partitions: int = 8) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables: the cluster's ``spark.checkpoint.dir``.
 
-    A machine-local folder is chosen only when the setting is absent and the
-    master itself is local, so no executor can be lost without the driver.
+    Where the setting is absent and the master itself is local (tests, one machine), a folder is made once per
+    application and set as its checkpoint folder; no executor can be lost without the driver there.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="winnow-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="winnow-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
