@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, line_dedup, mixing, toxicity
+from . import decontamination, edit_counts, jaccard_join, line_dedup, mixing, pseudonyms, quality_rules, secret_scan, toxicity, wrapper_induction
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,12 +27,54 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+RULES_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls FROM d),
+i AS (SELECT r, unnest(range(1, len(ws) - 1)) AS p, ws FROM w WHERE len(ws) >= 3),
+g AS (SELECT r, p, count(*) OVER (PARTITION BY r, ws[p], ws[p + 1], ws[p + 2]) AS n FROM i),
+c AS (SELECT r, count(DISTINCT q) AS n_repeat_words FROM (SELECT r, unnest([p, p + 1, p + 2]) AS q FROM g WHERE n > 1) GROUP BY r),
+m AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines,
+    length(t) - length(regexp_replace(t, '[A-Z]+', '', 'g')) AS n_capitals, length(t) - length(regexp_replace(t, '[!-@\[-`{-~]+', '', 'g')) AS n_marks
+  FROM w LEFT JOIN c USING (r)),
+b AS (
+  SELECT *, ((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT + 8 * (10 * n_dup_lines > 3 * n_lines)::INT
+    + 16 * (word_chars < 2 * n_words OR word_chars > 15 * n_words)::INT + 32 * (10 * n_capitals > 3 * word_chars)::INT + 64 * (10 * n_marks > 4 * word_chars)::INT)::INT AS fail_bits
+  FROM m)
+SELECT *, fail_bits & 3 <> 0 AS base_failed, 2 AS policy, fail_bits = 0 AS kept FROM b
+"""
+
+
+@query("op1_quality_rules", RULES_SQL)
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.ledger(table(spark, folder, "documents"))
+
+
 @query("op2_toxicity")
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return toxicity.score_texts(docs, toxicity.fit(docs, table(spark, folder, "labels")))
 
 
+@query("op3_pseudonyms")
+def op3_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    return pseudonyms.pseudonymise(table(spark, folder, "documents")).select("doc_id", "text", *(f"n_{kind}" for kind in pseudonyms.FORMATS))
+
+
+@query("op4_main_text")
+def op4_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return wrapper_induction.extract(table(spark, folder, "pages"))
+
+
+@query("op5_edit_counts")
+def op5_edit_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    no_tree = [F.lit(None).cast(kind).alias(name) for name, kind in (("starts", "array<long>"), ("counts", "array<long>"), ("levels", "array<array<long>>"))]
+    return edit_counts.recount(docs.select("*", *no_tree))
+
+
 @query("op6_line_dedup")
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, folder, "documents")).select("doc_id", "n_lines", "n_gone_lines", "text")
@@ -65,6 +108,12 @@ FROM x
 """
 
 
+@query("op7_secret_scan")
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return secret_scan.scan(docs, secret_scan.fit(docs))
+
+
 @query("op8_mixing", MIX_SQL)
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
