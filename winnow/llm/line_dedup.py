@@ -7,6 +7,8 @@ makes n - 1 pairs, never all n (n - 1) / 2, and no line is too frequent to be lo
 An alignment numbers repeated lines within each document, so that every line is unique in both, and takes the longest run of
 common lines in the same order (patience diff); common lines off that run are blocks that have moved. Aligned
 lines without a gap in either document are a block. Blocks of at least ``block_words`` words are deleted from the later document.
+
+Joins ask for the sort-merge form, whose cost follows the input alike at every size, and which adaptive execution splits at hot keys.
 """
 
 from __future__ import annotations
@@ -81,8 +83,8 @@ def repeated_lines(docs: DataFrame, seed_words: int = 8, block_words: int = 8) -
     table = cut(line_table(docs))
     seeds = table.select("doc_id", F.explode(F.arrays_zip("lines", "words")).alias("l")).where(F.col("l.words") >= seed_words).select("doc_id", F.col("l.lines").alias("line"))
     holders = cut(seeds.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("line", "first"))
-    pairs = cut(seeds.join(holders, "line").where("first < doc_id").select("doc_id", "first").distinct())
-    later = table.join(pairs, "doc_id")
+    pairs = cut(seeds.join(holders.hint("merge"), "line").where("first < doc_id").select("doc_id", "first").distinct())
+    later = table.join(pairs.hint("merge"), "doc_id")
     firsts = table.select(F.col("doc_id").alias("first"), F.col("lines").alias("first_lines"))
 
     def align(batches):
@@ -92,7 +94,7 @@ def repeated_lines(docs: DataFrame, seed_words: int = 8, block_words: int = 8) -
                 gone.append(aligned_blocks(row["lines"], row["first_lines"], row["words"], block_words))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "gone"])
 
-    found = later.join(firsts, "first").select("doc_id", "lines", "first_lines", "words").mapInArrow(align, "doc_id long, gone array<int>")
+    found = later.join(firsts.hint("merge"), "first").select("doc_id", "lines", "first_lines", "words").mapInArrow(align, "doc_id long, gone array<int>")
     return found.where(F.size("gone") > 0).select("doc_id", F.explode("gone").alias("i")).distinct().groupBy("doc_id").agg(F.collect_list("i").alias("gone"))
 
 
@@ -105,7 +107,7 @@ def dedup_lines(docs: DataFrame, seed_words: int = 8, block_words: int = 8) -> D
     are left alone. Columns of ``docs`` named like an output are replaced.
     """
     gone = cut(repeated_lines(docs, seed_words, block_words))
-    rows = docs.join(gone.select("doc_id", F.col("gone").alias("_gone_lines")), "doc_id", "left")
+    rows = docs.join(gone.select("doc_id", F.col("gone").alias("_gone_lines")).hint("merge"), "doc_id", "left")
     lines = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_gone_lines", i)), "\n")
     text = F.when(F.col("_gone_lines").isNull(), F.col("text")).otherwise(kept)
