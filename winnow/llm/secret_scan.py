@@ -44,18 +44,22 @@ def _written(spans: list[Span]) -> str:
 
 
 class Chain:
-    """Second-order character probabilities of one class, smoothed by adding half a count and backing off to first order."""
+    """Second-order character probabilities of one class, each order drawn towards the one below it."""
 
     def __init__(self, samples: list[str]):
         n = len(_ALPHABET)
-        two, three = np.full((n, n), 0.5), np.zeros((n * n, n))
+        one, two, three = np.full(n, 0.5), np.zeros((n, n)), np.zeros((n * n, n))
         for sample in samples:
             codes = _codes(sample)
+            np.add.at(one, codes, 1)
             np.add.at(two, (codes[:-1], codes[1:]), 1)
             np.add.at(three, (codes[:-2] * n + codes[1:-1], codes[2:]), 1)
-        first = two / two.sum(axis=1, keepdims=True)
-        pull = 8.0
-        self.logs = np.log((three + pull * np.tile(first, (n, 1))) / (three.sum(axis=1, keepdims=True) + pull))
+        first = self._drawn(two, one / one.sum())
+        self.logs = np.log(self._drawn(three, np.tile(first, (n, 1))))
+
+    @staticmethod
+    def _drawn(counts: np.ndarray, below: np.ndarray, pull: float = 8.0) -> np.ndarray:
+        return (counts + pull * below) / (counts.sum(axis=1, keepdims=True) + pull)
 
     def mean(self, codes: np.ndarray) -> float:
         n = len(_ALPHABET)
