@@ -20,10 +20,8 @@ def sequential(rows, match):
     return out
 
 
-@pytest.mark.parametrize("pivots,small", [(2, True), (5, False), (64, True)])
-def test_hot_block_equals_sequential_walk(spark, monkeypatch, pivots, small):
-    if not small:
-        monkeypatch.setattr(leaders, "SMALL_EDGES", -1)
+@pytest.mark.parametrize("pivots", [2, 5, 64])
+def test_hot_block_equals_sequential_walk(spark, pivots):
     rng = random.Random(pivots)
     base = [rng.getrandbits(63) for _ in range(6)]
     rows = []
@@ -41,6 +39,20 @@ def test_hot_block_equals_sequential_walk(spark, monkeypatch, pivots, small):
     assert {r["node"]: r["leader"] for r in got.collect()} == want
 
 
+def test_rounds_grow_with_the_log_of_a_hot_block(spark, monkeypatch):
+    """Rows of one block that match nothing: every round takes four times as many pivots."""
+    rounds = []
+    inner = leaders._round
+    monkeypatch.setattr(leaders, "_round", lambda *a: rounds.append(a[-2]) or inner(*a))
+    rows = spark.range(1500).select(F.col("id").alias("node"), (F.col("id") * 1000).alias("v"))
+    got = leaders.assign_leaders(
+        rows, node="node", blocks=F.array(F.lit(1)), features=["v"], pivots=4,
+        match=lambda a, b: F.abs(a("v") - b("v")) < 10,
+    )
+    assert got.filter("node <> leader").count() == 0 and got.count() == 1500
+    assert rounds == [4, 16, 64, 256, 1024, 4096][: len(rounds)] and len(rounds) <= 6
+
+
 def test_random_graphs_from_edges(spark):
     rng = random.Random(7)
     nodes = list(range(60))

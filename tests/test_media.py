@@ -43,35 +43,10 @@ def test_hash_is_stable_under_brightness_and_bit_zero_unset():
     assert bin((a ^ b) & (2**64 - 1)).count("1") <= 4 and a & 1 == 0
 
 
-def test_regions_and_eyes():
+def test_regions():
     img = checker(200, 120)
     assert pixels.region(img, -5, -5, 7, 7) is None and pixels.region(img, 0, 0, float("nan"), 5) is None
     assert pixels.region(img, 10, 10, 50, 40)["crop_width"] == 50
-    pts = np.array([[60, 60], [65, 56], [75, 56], [80, 60], [75, 64], [65, 64]], float)
-    assert pixels.eye_rejection(img, pts, 0.3) is None
-    assert "too small" in pixels.eye_rejection(img, pts * 0.1, 0.3)
-    assert "plausible" in pixels.eye_rejection(img, pts, 0.9)
-    assert "boundary" in pixels.eye_rejection(img, pts - 58, 0.3)
-    assert "dark" in pixels.eye_rejection(np.zeros_like(img), pts, 0.3)
-    assert "contrast" in pixels.eye_rejection(np.full_like(img, 128), pts, 0.3)
-
-
-def test_visibility_and_detector_decoding():
-    mask = np.ones((64, 64))
-    assert pixels.visible_fraction(mask, (20, 30), (40, 30))["visible_fraction"] == 1.0
-    assert pixels.visible_fraction(-mask, (20, 30), (40, 30))["visible_fraction"] == 0.0
-    assert pixels.visible_fraction(mask, (20, 30), (22, 30)) is None and pixels.visible_fraction(mask, (1, 1), (40, 1)) is None
-    n = 20 * 20
-    score = np.zeros(n)
-    score[21] = 1.0
-    box = np.zeros((n, 4))
-    box[:, 2:] = np.log(2.0)
-    found = pixels.decode_centres(score, score, box, stride=32, side=640, scale=1.0, width=640, height=640, threshold=0.5)
-    assert found.tolist() == [[0.0, 0.0, 64.0, 64.0, 1.0]]
-    score2 = np.zeros(2 * n)
-    score2[2 * 21] = 0.9
-    found = pixels.decode_distances(score2, np.ones((2 * n, 4)), stride=32, side=640, scale=1.0, width=640, height=640, threshold=0.5)
-    assert found.tolist() == [[0.0, 0.0, 64.0, 64.0, 0.9]]
 
 
 def test_naturalness_features_and_distance():

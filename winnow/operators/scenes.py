@@ -17,13 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.identity import scene_id
 from ..functions.vectors import all_finite
 from ..session import broadcast_if_small, cut, require_empty
 
 CHUNK_ROWS = 100_000
-# Above this many members the id is derived from a digest of the member set.
-LISTED_MEMBERS = 50_000
 
 
 @dataclass(frozen=True)
@@ -72,39 +69,31 @@ def scene_members(df: DataFrame, *, project: str = "project_id", id: str = "phot
 
 
 def scenes(df: DataFrame, **options) -> DataFrame:
-    """Membership with scene ids: the text id of the ordered member list, or the manual id."""
+    """Membership with scene ids: a digest of project, first row, size and member set, or the manual id.
+
+    The member set enters as the sum of its members' digests, so no scene is ever collected in one place.
+    """
     project = options.get("project", "project_id")
     id = options.get("id", "photo_id")
-    time = options.get("time", "taken_s")
-    members = scene_members(df, **options).join(df.select(project, id, time), [project, id])
+    members = scene_members(df, **options)
     auto = members.filter(F.col("manual_id").isNull())
-    counted = auto.groupBy(project, "anchor_id").agg(
-        F.count("*").alias("n"),
-        F.sum(F.conv(F.substring(F.sha2(F.col(id).cast("string"), 256), 1, 15), 16, 10).cast("decimal(20,0)")).alias("d"),
-    )
-    big = counted.filter(F.col("n") > LISTED_MEMBERS).select(
-        project,
-        "anchor_id",
-        F.concat(F.lit("scene-"), F.sha2(F.concat_ws(":", F.lit("scene-v1"), F.col(project).cast("string"), "anchor_id", "n", F.col("d").cast("string")), 256)).alias("scene_id"),
-    )
-    small = counted.filter(F.col("n") <= LISTED_MEMBERS).select(project, "anchor_id")
-    listed = (
-        auto.join(small, [project, "anchor_id"], "left_semi")
-        .groupBy(project, "anchor_id")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(id).alias("i")))).alias("m"))
-        .select(project, "anchor_id", scene_id(F.col(project), F.col("m.i")).alias("scene_id"))
-    )
-    named = auto.join(listed.unionByName(big), [project, "anchor_id"]).select(project, id, "kind", "scene_id")
+    part = F.conv(F.substring(F.sha2(F.col(id).cast("string"), 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    counted = auto.groupBy(project, "anchor_id").agg(F.count("*").alias("n"), F.sum(part).alias("d"))
+    text = F.concat_ws(":", F.lit("scene-v1"), F.col(project).cast("string"), F.col("anchor_id").cast("string"), F.col("n").cast("string"), F.col("d").cast("string"))
+    ids = counted.select(project, "anchor_id", F.concat(F.lit("scene-"), F.sha2(text, 256)).alias("scene_id"))
+    named = auto.join(ids, [project, "anchor_id"]).select(project, id, "kind", "scene_id")
     return named.unionByName(
         members.filter(F.col("manual_id").isNotNull()).select(project, id, "kind", F.col("manual_id").alias("scene_id"))
     )
 
 
-def correct_scenes(overrides: DataFrame, requested: DataFrame, entities: DataFrame, *, scene_id: str | None, limit: int = 50_000) -> DataFrame:
-    """Override table after assigning the requested rows to ``scene_id``, or resetting them (None)."""
-    n = requested.limit(limit + 1).count()
-    if not 1 <= n <= limit:
-        raise ValueError(f"select 1..={limit} rows")
+def correct_scenes(overrides: DataFrame, requested: DataFrame, entities: DataFrame, *, scene_id: str | None, limit: int | None = None) -> DataFrame:
+    """Override table after assigning the requested rows to ``scene_id``, or resetting them (None).
+
+    ``limit`` refuses larger requests; an interactive caller takes 50 000.
+    """
+    if requested.isEmpty() or (limit is not None and requested.limit(limit + 1).count() > limit):
+        raise ValueError("select at least one row" + (f" and at most {limit}" if limit is not None else ""))
     require_empty(
         requested.groupBy("project_id", "photo_id").count().filter("count > 1"), "duplicate ids"
     )

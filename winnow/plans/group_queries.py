@@ -43,7 +43,7 @@ def doc_rows(d):
     """Documents with hash, structure, capture second, shape and score."""
     times = d.events.select(F.col("event_id").alias("photo_id"), F.unix_timestamp("ts").alias("taken_s"))
     return (
-        d.doc_features.join(times, "photo_id")
+        d.doc_features.join(times, "photo_id", "left")
         .withColumn("aspect", 1.5 + (F.col("photo_id") % 3) * 0.006)
         .withColumn("score", (F.col("photo_id") * 37 % 11).cast("double"))
         .withColumn("closed_eye", F.col("photo_id") % 5 == 0)
@@ -51,7 +51,7 @@ def doc_rows(d):
 
 
 POOL = """pool AS MATERIALIZED (SELECT f.*, CAST(floor(epoch(ts)) AS BIGINT) AS taken_s, 1.5e0 + (photo_id % 3) * 0.006e0 AS aspect,
-  CAST(photo_id * 37 % 11 AS DOUBLE) AS score, photo_id % 5 = 0 AS closed_eye FROM doc_features f JOIN events ON event_id = photo_id)"""
+  CAST(photo_id * 37 % 11 AS DOUBLE) AS score, photo_id % 5 = 0 AS closed_eye FROM doc_features f LEFT JOIN events ON event_id = photo_id)"""
 SIMILAR = groups.SimilarLimits(max_gap=21_600)
 SIMILAR_EDGES = f"""SELECT a.photo_id AS later, b.photo_id AS earlier FROM pool a JOIN pool b ON b.photo_id < a.photo_id AND abs(a.taken_s - b.taken_s) <= 21600
   AND {DIST} <= 8 AND abs(a.aspect - b.aspect) < 0.05 WHERE {MEAN_DIFF} < 0.10"""
@@ -191,7 +191,7 @@ def scene_walk(rows: str) -> str:
       FROM s JOIN t ON t.project_id = s.project_id AND t.n = s.n + 1) AS u)"""
 
 
-SCENE_TEXT = "'scene-' || sha256('scene-v1:' || project_id || ':[' || string_agg(CAST(photo_id AS VARCHAR), ', ' ORDER BY taken_s, photo_id) || ']')"
+SCENE_TEXT = "'scene-' || sha256(concat_ws(':', 'scene-v1', project_id, anchor, count(*), sum(('0x' || substr(sha256(CAST(photo_id AS VARCHAR)), 1, 15))::BIGINT)))"
 
 
 @query("scene_partition", "J5 H18 E3", f"""

@@ -141,10 +141,11 @@ def merged_sidecars(d):
 
 
 @query("saved_groups", "J9 J8", """
-SELECT project_id, concat('variant-', capture_variant_id) AS group_id, photo_id FROM entities WHERE NOT missing AND NOT quarantined AND project_id <> 'src0'
-UNION ALL SELECT project_id, 'old', photo_id FROM entities WHERE project_id = 'src0'""", ["entities"])
+WITH fresh AS (SELECT project_id, concat('variant-', capture_variant_id) AS group_id, photo_id FROM entities WHERE NOT missing AND NOT quarantined)
+SELECT * FROM fresh UNION ALL SELECT project_id, 'old', photo_id FROM entities WHERE project_id NOT IN (SELECT project_id FROM fresh)""", ["entities"])
 def saved_groups(d):
+    """Projects with fresh groups lose their stored ones; a project without any keeps them."""
     stored = d.entities.select("project_id", F.lit("old").alias("group_id"), "photo_id")
-    live = d.entities.filter(~F.col("missing") & ~F.col("quarantined") & (F.col("project_id") != "src0"))
+    live = d.entities.filter(~F.col("missing") & ~F.col("quarantined"))
     fresh = live.select("project_id", F.concat(F.lit("variant-"), "capture_variant_id").alias("group_id"), "photo_id")
     return groups.save_groups(stored, fresh, d.entities).select("project_id", "group_id", "photo_id")

@@ -282,7 +282,7 @@ def face_correspondences(d):
 
 def intents(d):
     seg = F.col("c_mktsegment")
-    return d.customer.filter(seg.isin("BUILDING", "HOUSEHOLD", "MACHINERY")).select(
+    return d.customer.select(
         F.col("c_custkey").alias("group_id"),
         (F.col("c_custkey") % 4 + 1).cast("int").alias("target_keep"),
         (seg == "HOUSEHOLD").alias("has_main"),
@@ -293,7 +293,7 @@ def plan_locks(d):
     return d.shots.filter("k % 11 = 0 AND decision IN ('pending', 'keep')").select("photo_id")
 
 
-PLAN = f"""{SCORED}, it AS (SELECT c_custkey AS group_id, CAST(c_custkey % 4 + 1 AS INT) AS target_keep, c_mktsegment = 'HOUSEHOLD' AS has_main FROM customer WHERE c_mktsegment IN ('BUILDING', 'HOUSEHOLD', 'MACHINERY')),
+PLAN = f"""{SCORED}, it AS (SELECT c_custkey AS group_id, CAST(c_custkey % 4 + 1 AS INT) AS target_keep, c_mktsegment = 'HOUSEHOLD' AS has_main FROM customer),
  q0 AS (SELECT photo_id, CASE WHEN q_lap IS NOT NULL THEN {QUALITY} END AS main_score FROM faces WHERE i = 0),
  m AS (SELECT s.group_id, s.photo_id, s.decision, s.score, good AND verdict <> 'reject_suggest' AS usable, coalesce(target_keep, 1) AS target, coalesce(has_main, false) AS has_main,
    CASE WHEN coalesce(has_main, false) THEN main_score ELSE 0 END AS quality, s.decision = 'keep' OR (s.k % 11 = 0 AND s.decision = 'pending') AS fixed

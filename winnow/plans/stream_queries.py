@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from ..operators import snapshots
@@ -16,8 +17,19 @@ def _place(d, name: str) -> str:
     return f"{shared_folder(d.spark)}/winnow-stream-{name}-{uuid.uuid4().hex}"
 
 
-def event_stream(d):
-    return live.file_stream(d.spark, d.folder, schema=d.events.schema, pattern="events.parquet", files_per_batch=1)
+PARTS = 4
+
+
+def arrive(table, key: str, place: str, parts) -> None:
+    """Files of a table as they arrive, one after the other: rows whose key has each remainder."""
+    for part in parts:
+        table.filter(F.pmod(F.col(key), F.lit(PARTS)) == part).coalesce(1).write.mode("append").parquet(f"{place}/in")
+
+
+def event_stream(d, place: str, parts=range(PARTS)):
+    """The events as several files, each a micro-batch of its own."""
+    arrive(d.events, "event_id", place, parts)
+    return live.file_stream(d.spark, f"{place}/in", schema=d.events.schema, files_per_batch=1)
 
 
 def as_log(events):
@@ -37,7 +49,7 @@ FROM events WHERE CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 10 <> 0
 def streamed_decisions(d):
     """Every trigger appends the keys it changed; the newest row per key is the state."""
     place = _place(d, "state")
-    state = live.live_decisions(as_log(event_stream(d)))
+    state = live.live_decisions(as_log(event_stream(d, place)))
     run = (
         state.writeStream.outputMode("update")
         .foreachBatch(live.batch_table(f"{place}/out"))
@@ -53,22 +65,63 @@ def streamed_decisions(d):
 @query("streamed_ingest", "O1 O2 O5", """
 SELECT doc_id, sha256(text) AS sha256, n_chars FROM documents WHERE n_chars % 10 <> 0""")
 def streamed_ingest(d):
-    """Micro-batches are hashed and published; rows marked bad go to dead letters."""
+    """The first file is committed alone, then the others in batches; rows marked bad go to dead letters."""
     place = _place(d, "ingest")
-    stream = live.file_stream(d.spark, d.folder, schema=d.documents.schema, pattern="documents.parquet")
-    rows = stream.select(
-        "doc_id", F.sha2("text", 256).alias("sha256"), "n_chars", F.when(F.col("n_chars") % 10 == 0, "unreadable").alias("error")
-    )
-    good, _ = live.split_failures(rows)
-    live.publish(good, live.batch_table(place + "/out"), checkpoint=place + "/checkpoint").awaitTermination()
+
+    def commit(parts):
+        arrive(d.documents, "doc_id", place, parts)
+        stream = live.file_stream(d.spark, f"{place}/in", schema=d.documents.schema, files_per_batch=2)
+        rows = stream.select(
+            "doc_id", F.sha2("text", 256).alias("sha256"), "n_chars", F.when(F.col("n_chars") % 10 == 0, "unreadable").alias("error")
+        )
+        good, _ = live.split_failures(rows)
+        live.publish(good, live.batch_table(place + "/out"), checkpoint=place + "/checkpoint").awaitTermination()
+
+    commit([0])
+    commit(range(1, PARTS))
     return d.spark.read.parquet(place + "/out").drop("batch")
 
 
 @query("streamed_requests", "K8 O5", """
 SELECT DISTINCT user_id || ':' || event_type AS request_id FROM events""")
 def streamed_requests(d):
+    """Every file arrives, and the first one once more after all others: a request is accepted once."""
     place = _place(d, "requests")
-    asked = event_stream(d).select(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("request_id"), F.col("ts").cast("timestamp").alias("at"))
-    once = live.first_requests(asked, delay="60 days")
-    live.publish(once.select("request_id"), live.batch_table(place + "/out"), checkpoint=place + "/checkpoint").awaitTermination()
+
+    def commit(parts):
+        asked = event_stream(d, place, parts).select(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("request_id"))
+        live.publish(asked, live.journaled(place + "/out"), checkpoint=place + "/checkpoint").awaitTermination()
+
+    commit(range(PARTS))
+    commit([0])
     return d.spark.read.parquet(place + "/out").drop("batch")
+
+
+@query("streamed_guard", "O3 O2", f"""
+SELECT event_id, value FROM events WHERE event_id % {PARTS} < 2""")
+def streamed_guard(d):
+    """The settings change while the second batch is written: what was computed with the old ones is refused from then on."""
+    place = _place(d, "guard")
+    settings, store = ["first"], live.batch_table(place + "/out")
+
+    def write(batch, batch_id):
+        store(batch, batch_id)
+        if batch_id == 1:
+            settings[0] = "second"
+
+    run = live.publish(event_stream(d, place).select("event_id", "value"), live.guarded(write, lambda: settings[0], "first"), checkpoint=place + "/checkpoint")
+    try:
+        run.awaitTermination()
+    except StreamingQueryException:
+        return d.spark.read.parquet(place + "/out").drop("batch")
+    raise AssertionError("the stale writer was not refused")
+
+
+@query("streamed_progress", "O7", f"""
+SELECT event_id % {PARTS} AS batch, count(*) AS rows, 'progress' AS phase FROM events GROUP BY 1
+UNION ALL SELECT -1, count(*), 'finished' FROM events""")
+def streamed_progress(d):
+    place = _place(d, "progress")
+    run = live.publish(event_stream(d, place).select("event_id"), live.batch_table(place + "/out"), checkpoint=place + "/checkpoint")
+    run.awaitTermination()
+    return live.progress_rows(d.spark, run).select("batch", "rows", "phase")

@@ -94,7 +94,7 @@ VIEWS = {
     "vectors": """
         SELECT v.vec_id AS photo_id, v.label AS project_id, v.embedding AS vector,
                EPOCH_S(e.ts) AS taken_s, 1.5e0 AS aspect, v.vec_id % 7 AS score
-        FROM {embeddings} v JOIN {events} e ON e.event_id = v.vec_id""",
+        FROM {embeddings} v LEFT JOIN {events} e ON e.event_id = v.vec_id""",
     # Orders as measured shots; every number is derived from the order's price in cents.
     "shots": """
         SELECT o_orderkey AS photo_id, o_custkey AS group_id, o_orderpriority AS project_id, k,
@@ -110,15 +110,14 @@ VIEWS = {
                CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'keep' ELSE 'reject' END AS decision
         FROM (SELECT o_orderkey, o_custkey, o_orderpriority, o_orderstatus,
                      CAST(floor(o_totalprice * 100) AS BIGINT) AS k FROM {orders}) AS o""",
+    # Every row is kept: rows of an order are numbered, so that equal ones are told apart too.
     "boxes": """
-        SELECT row_id, image, x, y, w, h, confidence, is_truth FROM (
-          SELECT l_orderkey * 1000 + l_linenumber * 100 + l_suppkey % 100 AS row_id, l_orderkey AS image,
-                 (l_partkey % 20) / 4e1 AS x, (l_suppkey % 20) / 4e1 AS y,
-                 0.1e0 + l_discount * 2 AS w, 0.1e0 + l_tax * 2 AS h,
-                 l_extendedprice AS confidence, l_returnflag = 'N' AS is_truth,
-                 row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_suppkey % 100
-                                    ORDER BY l_partkey, l_suppkey, l_extendedprice) AS n
-          FROM {lineitem}) AS b WHERE n = 1""",
+        SELECT l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity,
+                   l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS row_id, l_orderkey AS image,
+               (l_partkey % 20) / 4e1 AS x, (l_suppkey % 20) / 4e1 AS y,
+               0.1e0 + l_discount * 2 AS w, 0.1e0 + l_tax * 2 AS h,
+               l_extendedprice AS confidence, l_returnflag = 'N' AS is_truth
+        FROM {lineitem}""",
 }
 
 DEPENDS = {

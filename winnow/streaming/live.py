@@ -76,9 +76,30 @@ def live_decisions(log: DataFrame, *, key: str = "photo_id", seq: str = "seq") -
     )
 
 
-def first_requests(requests: DataFrame, *, time: str = "at", delay: str = "1 hour") -> DataFrame:
-    """Each request id once while its replay can still arrive."""
-    return requests.withWatermark(time, delay).dropDuplicatesWithinWatermark(["request_id"])
+def journaled(journal: str, *, key: str = "request_id") -> Callable[[DataFrame, int], None]:
+    """Writer that accepts each request id once for ever: what the journal holds is refused however late it comes again.
+
+    The journal has one folder per batch, so a batch replayed after a lost driver is compared with the other batches only and
+    overwrites its own.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.dropDuplicates([key])
+        if batch_id:
+            fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema]
+            seen = batch.sparkSession.read.schema(", ".join([*fields, "batch long"])).parquet(journal)
+            fresh = fresh.join(seen.filter(F.col("batch") < batch_id).select(key), key, "left_anti").select(*batch.columns)
+        fresh.write.mode("overwrite").parquet(f"{journal}/batch={batch_id}")
+
+    return write
+
+
+def progress_rows(spark: SparkSession, query) -> DataFrame:
+    """``batch, rows, phase, error`` of a run: one row per batch that read anything, and one for its end."""
+    rows = [(p["batchId"], p["numInputRows"], "progress", None) for p in query.recentProgress if p["numInputRows"]]
+    error = query.exception()
+    rows.append((-1, sum(r[1] for r in rows), "failed" if error else "finished", str(error)[:500] if error else None))
+    return spark.createDataFrame(rows, "batch long, rows long, phase string, error string")
 
 
 def observed(rows: DataFrame, name: str, *, error: str | None = None) -> DataFrame:
