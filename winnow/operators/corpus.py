@@ -70,10 +70,27 @@ def fit(df: DataFrame, *, vector: str, size: int) -> tuple[np.ndarray, np.ndarra
 
 
 def distance_from(blocks: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> float | None:
-    """Distance of a row's feature blocks from the fitted corpus; lower is more natural."""
-    if len(blocks) < 2:
+    """Distance of a row's feature blocks from the fitted corpus; lower is more natural.
+
+    Each feature is averaged over its finite values; the covariance needs blocks in which all features are finite.
+    """
+    finite = np.isfinite(blocks)
+    whole = blocks[finite.all(axis=1)]
+    if len(whole) < 2 or not finite.any(axis=0).all():
         return None
-    mu, sigma = blocks.mean(axis=0), np.cov(blocks, rowvar=False)
+    mu = np.where(finite, blocks, 0.0).sum(axis=0) / finite.sum(axis=0)
     diff = mu - mean
-    value = float(diff @ np.linalg.pinv((sigma + cov) / 2) @ diff)
+    value = float(diff @ np.linalg.pinv((np.cov(whole, rowvar=False) + cov) / 2) @ diff)
     return float(np.sqrt(max(value, 0.0))) if np.isfinite(value) else None
+
+
+def distances(df: DataFrame, mean: np.ndarray, cov: np.ndarray, *, id: str, blocks: str) -> DataFrame:
+    """``id, distance`` of every row's ``blocks`` (array of feature arrays) from a fitted corpus; null where it can't be told."""
+    kind = df.schema[id].dataType.simpleString()
+
+    def measure(batches):
+        for pdf in batches:
+            found = [None if b is None or not len(b) else distance_from(np.stack(b).astype(np.float64), mean, cov) for b in pdf["blocks"]]
+            yield pd.DataFrame({id: pdf[id], "distance": pd.Series(found, dtype="float64")})
+
+    return df.select(F.col(id).alias(id), F.col(blocks).alias("blocks")).mapInPandas(measure, f"{id} {kind}, distance double")

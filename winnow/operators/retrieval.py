@@ -106,7 +106,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int, dimensions: int, id
     Queries are counted first. While their matrix fits ``block_bytes`` it is
     broadcast once; beyond that they are split by hash into blocks of that size
     and the vectors are scanned once per block. A task multiplies one matrix
-    pair per Arrow batch and keeps k rows per query, so the shuffle carries
+    pair per Arrow batch, in slices of queries, and keeps k rows per query, so the shuffle carries
     tasks x queries x k narrow rows, never vectors.
     """
     if not 1 <= k <= 200 or not 2 <= dimensions <= 2048:
@@ -137,6 +137,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int, dimensions: int, id
     )
 
 
+#: Numbers that a task holds of one product of queries and vectors (32 MiB of doubles).
+SLICE_NUMBERS = 4 * 1024 * 1024
+
+
+def _first_k(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k most similar rows, the smaller id first among equals, without sorting the others."""
+    keep = np.flatnonzero(np.isfinite(sims))
+    if len(keep) > k:
+        # the k-th value bounds the result; all its ties stay until ids decide
+        bound = np.partition(sims[keep], len(keep) - k)[len(keep) - k]
+        keep = keep[sims[keep] >= bound]
+    order = keep[np.lexsort((ids[keep], -sims[keep]))[:k]]
+    return sims[order], ids[order]
+
+
 def _scan(block: pd.DataFrame, k: int, exclude_self: bool, spark):
     """Task body: running k best per query over the vectors of one partition."""
     matrix = np.stack(block["v"].to_numpy()).astype(np.float64) if len(block) else None
@@ -146,25 +161,24 @@ def _scan(block: pd.DataFrame, k: int, exclude_self: bool, spark):
         names, q = shared.value
         if q is None:
             return
-        top_s = np.full((len(names), 0), 0.0)
-        top_i = None
+        best_s, best_i = {}, {}
         for pdf in batches:
             if not len(pdf):
                 continue
             ids = pdf["id"].to_numpy()
-            sims = np.clip(q @ np.stack(pdf["v"].to_numpy()).astype(np.float64).T, -1.0, 1.0)
-            if exclude_self:
-                sims[names[:, None] == ids[None, :]] = -np.inf
-            wide_i = np.broadcast_to(ids, sims.shape)
-            if top_i is not None:
-                sims, wide_i = np.hstack([top_s, sims]), np.hstack([top_i, wide_i])
-            order = np.lexsort((wide_i, -sims), axis=1)[:, :k]
-            top_s = np.take_along_axis(sims, order, axis=1)
-            top_i = np.take_along_axis(wide_i, order, axis=1)
-        if top_i is not None:
-            keep = np.isfinite(top_s)
-            yield pd.DataFrame(
-                {"q": np.repeat(names, keep.sum(axis=1)), "id": top_i[keep], "similarity": top_s[keep]}
-            )
+            batch = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+            # queries are taken in slices, so that similarities, ids and their order stay within SLICE_NUMBERS each
+            step = max(1, SLICE_NUMBERS // (len(ids) + k))
+            for at in range(0, len(names), step):
+                sims = np.clip(q[at : at + step] @ batch.T, -1.0, 1.0)
+                if exclude_self:
+                    sims[names[at : at + step, None] == ids[None, :]] = -np.inf
+                own = [_first_k(row, ids, k) for row in sims]
+                for j, (s, i) in enumerate(own, at):
+                    if j in best_s:
+                        s, i = _first_k(np.concatenate([best_s[j], s]), np.concatenate([best_i[j], i]), k)
+                    best_s[j], best_i[j] = s, i
+        for j in best_s:
+            yield pd.DataFrame({"q": np.repeat(names[j : j + 1], len(best_s[j])), "id": best_i[j], "similarity": best_s[j]})
 
     return best

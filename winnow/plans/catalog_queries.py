@@ -129,11 +129,14 @@ def scan_report(d):
 
 @query("surviving_analyses", "A7", f"""
 WITH {DIFF} SELECT p.photo_id FROM payloads p JOIN entities e USING (photo_id)
-WHERE NOT EXISTS (SELECT 1 FROM diff x WHERE x.status = 'changed' AND x.project_id = e.project_id AND x.path = e.path)""",
-  ["entities", "payloads", "snapshot_before", "snapshot_after"])
+WHERE NOT EXISTS (SELECT 1 FROM diff x WHERE x.status = 'changed' AND x.project_id = e.project_id AND x.path = e.path)
+  AND NOT EXISTS (SELECT 1 FROM scan_failures f WHERE f.project_id = e.project_id AND f.path = e.path)""",
+  ["entities", "payloads", "snapshot_before", "snapshot_after", "scan_failures"])
 def surviving_analyses(d):
+    """Changed sources and sources that could not be read drop their analysis."""
     children = d.payloads.select("photo_id").join(d.entities.select("photo_id", *KEY), "photo_id")
-    return snapshots.invalidate(children, classified(d).filter("status = 'changed'"), key=KEY).select("photo_id")
+    changed = classified(d).filter("status = 'changed'").select(*KEY)
+    return snapshots.invalidate(children, changed.unionByName(d.scan_failures.select(*KEY)), key=KEY).select("photo_id")
 
 
 @query("variant_keys", "A8 H27", """

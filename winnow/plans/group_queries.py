@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions.hashing import bands
@@ -120,6 +122,36 @@ def ranked_groups(d):
     return ranked.select(F.lit("duplicate").alias("kind"), "leader", "photo_id", "rank")
 
 
+def _renamed(text: str, suffix: str) -> str:
+    """The walk's table names with a suffix, so that two walks fit in one statement."""
+    return re.sub(r"\b(edges|adj|steps|led|tagged|members)\b", lambda m: m.group(1) + suffix, text)
+
+
+LIVE = "live AS MATERIALIZED (SELECT p.*, e.capture_variant_id FROM pool p JOIN entities e USING (photo_id) WHERE NOT e.missing AND NOT e.quarantined)"
+
+
+def _kind(kind: str, suffix: str, edges: str, order: str) -> tuple[str, str]:
+    """Oracle tables and rows of one kind of group; a variant's member list is told apart from the walk's by its own name."""
+    walked = walk(edges.replace("FROM pool a JOIN pool b", "FROM live a JOIN live b")).replace("members", "taken")
+    tables = _renamed(f"{walked}, {GROUPED.replace('FROM pool', 'FROM live')}", suffix)
+    tables += f""", v{suffix} AS (SELECT m.leader, p.*, row_number() OVER (PARTITION BY leader, p.capture_variant_id ORDER BY {order}) AS n
+      FROM members{suffix} m JOIN live p USING (photo_id) WHERE group_size > 1),
+      k{suffix} AS (SELECT *, count(*) OVER (PARTITION BY leader) AS left_ FROM v{suffix} WHERE n = 1)"""
+    rows = f"SELECT '{kind}' AS kind, leader, photo_id, CAST(row_number() OVER (PARTITION BY leader ORDER BY {order}) AS INT) AS rank FROM k{suffix} WHERE left_ > 1"
+    return tables, rows
+
+
+BURSTS = _kind("burst", "_b", SIMILAR_EDGES, "closed_eye, score DESC, photo_id")
+COPIES = _kind("duplicate", "_d", DUPLICATE_EDGES, "score DESC, CAST(photo_id AS VARCHAR)")
+
+
+@query("grouped_project", "J8 G2 J1 J2", f"""
+RECURSIVE {POOL}, {LIVE}, {BURSTS[0]}, {COPIES[0]} {BURSTS[1]} UNION ALL {COPIES[1]}""", ["doc_features", "entities"])
+def grouped_project(d):
+    state = d.entities.select("photo_id", "missing", "quarantined", "capture_variant_id")
+    return groups.build_groups(doc_rows(d).join(state, "photo_id"), similar=SIMILAR)
+
+
 @query("ranked_bursts", "E4 J1", f"""
 RECURSIVE {POOL}, {walk(SIMILAR_EDGES)}, {GROUPED}
 SELECT leader, photo_id, CAST(row_number() OVER (PARTITION BY leader ORDER BY closed_eye, score DESC, photo_id) AS INT) AS rank
@@ -217,6 +249,22 @@ def scene_overrides(d):
     return scenes.scenes(d.timeline, limits=LIMITS, overrides=overrides)
 
 
+@query("scene_corrections", "J7", f"""
+WITH {OVERRIDES}, asked AS (SELECT project_id, photo_id FROM timeline WHERE photo_id % 13 = 0), reset AS (SELECT project_id, photo_id FROM timeline WHERE photo_id % 26 = 0)
+SELECT project_id, photo_id, 'manual-new' AS scene_id FROM asked WHERE (project_id, photo_id) NOT IN (SELECT (project_id, photo_id) FROM reset)
+UNION ALL SELECT project_id, photo_id, scene_id FROM over WHERE photo_id % 13 <> 0""", ["timeline"])
+def scene_corrections(d):
+    """Rows are assigned to a fresh scene, then some of them are reset."""
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
+    stored = d.events.filter(k % 9 == 0).select(
+        F.col("user_id").alias("project_id"), F.col("event_id").alias("photo_id"), F.concat(F.lit("manual-"), (k % 7).cast("string")).alias("scene_id")
+    )
+    rows = d.timeline.select("project_id", "photo_id", F.lit(False).alias("missing"), F.lit(False).alias("quarantined"))
+    keys = rows.select("project_id", "photo_id")
+    assigned = scenes.correct_scenes(stored, keys.filter("photo_id % 13 = 0"), rows, scene_id="manual-new", limit=50_000_000)
+    return scenes.correct_scenes(assigned, keys.filter("photo_id % 26 = 0"), rows, scene_id=None)
+
+
 @query("scene_chunks", "J5", f"""
 RECURSIVE {scene_walk('SELECT * FROM timeline')} SELECT project_id, photo_id, anchor AS anchor_id FROM s""", ["timeline"])
 def scene_chunks(d):
