@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,15 +59,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Remove the tables that :func:`cut` writes inside the block, once the block's own result has been written."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(paths)
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the written table.
 
     Used between rounds of the iterative operators. Lost executors cost a
     re-read of the files, never a replay of earlier rounds, and the planner
-    sees true sizes.
+    sees true sizes. Inside :func:`scratch` the table goes with the block.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/winnow-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -81,14 +101,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(slots, *keys) if df.rdd.getNumPartitions() < slots else df
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Optimizer's size estimate; exact for tables that were just written."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Hint a broadcast only when the measured size allows it; otherwise leave the join to AQE."""
-    return F.broadcast(df) if plan_bytes(df) <= limit else df
+    """Hint a broadcast only when the counted rows at the width of a row in memory stay within ``limit``.
+
+    No more rows are counted than that. Beyond it the join is left to adaptive execution.
+    """
+    most = limit // max(1, df._jdf.schema().defaultSize())
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 class ContractViolation(ValueError):
