@@ -123,7 +123,7 @@ def test_tree_matching_counts_nodes():
 
 
 def test_pages_take_odd_rows(spark):
-    rows = [(1, None, None), (2, "", ""), (3, "no url", "<p>a</p>"), (None, "http://h/x", "just text &lt;&#65;"), (4, "http://h/y", "<<<a <p <b>>"), (4, "http://h/y", "<<<a <p <b>>"), (5, "http://h/z", "<div>" * 400 + "deep" + "</div>" * 400)]
+    rows = [(1, None, None), (2, "", ""), (3, "no url", "<p>a</p>"), (None, "http://h/x", "just text &lt;&#65;"), (4, "http://h/y", "<<<a <p <b>>"), (4, "http://h/y", "<<<a <p <b>>"), (5, "http://h/z", "<div>" * 5000 + "deep" + "</div>" * 5000)]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
     found = wrapper_induction.extract(pages).collect()
     assert len(found) == 7 and {r.text for r in found if r.page_id in (1, 2)} == {""}

@@ -119,7 +119,22 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-@query("op9_jaccard_join")
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+x AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < 3 THEN [ws] ELSE [ws[i : i + 2] FOR i IN range(1, len(ws) - 1)] END) AS g FROM w WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM x GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * o >= 90 * (na.n + nb.n - o)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reached AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT reached.d, both_ways.b FROM reached JOIN both_ways ON both_ways.a = reached.r)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT d AS doc_id, min(r) AS component_id FROM reached GROUP BY 1) c USING (doc_id)
+"""
+
+
+@query("op9_jaccard_join", JACCARD_SQL)
 def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, folder, "documents"), width=3, num=90, den=100)
 

@@ -32,6 +32,8 @@ OUT_ROLES = frozenset("navigation banner contentinfo complementary search form a
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table tr tbody thead tfoot div article section main body".split())
 _WORDS = re.compile(r"[A-Za-z]+")
+#: Elements further down are not told apart.
+DEEPEST = 200
 
 
 @dataclass
@@ -41,8 +43,8 @@ class Node:
     parent: Node | None = None
     #: Elements and text pieces in page order.
     children: list = field(default_factory=list)
-    size: int = 1
     varying: bool = True
+    depth: int = 0
 
     def elements(self) -> list[Node]:
         return [c for c in self.children if isinstance(c, Node)]
@@ -56,6 +58,8 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html")
         self.at = self.root
+        #: Open elements below DEEPEST; their text counts for the element there.
+        self.below = 0
 
     def _close(self, tags: set[str], scopes: frozenset[str]):
         node = self.at
@@ -66,6 +70,9 @@ class _Builder(HTMLParser):
             node = node.parent
 
     def handle_starttag(self, tag, attrs):
+        if self.at.depth >= DEEPEST:
+            self.below += tag not in VOID
+            return
         if tag in BLOCK:
             self._close({"p"}, SCOPES | {"li", "td", "th", "dd", "dt", "blockquote"} if tag != "p" else SCOPES | {"li", "td", "th"})
         if tag in SELF_CLOSING:
@@ -77,7 +84,7 @@ class _Builder(HTMLParser):
         out = tag in OUT or values.get("role", "").lower() in OUT_ROLES or hidden or (bool(names & OUT_WORDS) and tag not in ("article", "main", "body", "html"))
         if tag == "header" and inside and not names & OUT_WORDS:
             out = False
-        node = Node(tag, out or self.at.out, self.at)
+        node = Node(tag, out or self.at.out, self.at, depth=self.at.depth + 1)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
@@ -85,9 +92,12 @@ class _Builder(HTMLParser):
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.at = self.at.parent or self.root
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
+        if self.below:
+            self.below -= tag not in VOID
+            return
         node = self.at
         while node is not self.root and node.tag != tag:
             if node.tag in ("article", "main", "body") and tag not in ("html", "body"):
@@ -104,8 +114,6 @@ def parse(html: str) -> Node:
     builder = _Builder()
     builder.feed(html)
     builder.close()
-    for node in reversed(_order(builder.root)):
-        node.size = 1 + sum(c.size for c in node.elements())
     return builder.root
 
 
