@@ -6,11 +6,15 @@ rows that agree on a range are multiplied, all other products stay below the bou
 remain, overlap counts are accumulated range by range and a pair is dropped once its count plus all that
 the remaining ranges could add is below the overlap it needs.
 
-Equal rows are one row from the start. Inside a group of rows that agree on a range, a few pivot rows are multiplied with
-the others; rows that have come into one component need no further product with each other. Groups in which
-different components remain are taken up again with four times as many pivots, until every pair of the group has been
-multiplied or lies in one component. Components are therefore those of all links, and a group of n copies costs about n
-products.
+Equal rows are one row from the start. Inside a group of rows that agree on a range, the row that agrees with most others is
+multiplied with all others of the group; rows that have come into one component need no further product with each other.
+Small groups in which different components remain are multiplied out; the larger ones are the second step. Their rows' n-grams
+are ordered by how many of these rows have
+them, the rarest first. Two linked rows share one of their first n-grams, as many as the overlap they need leaves
+room for, so copies with many edits of their own are parted without a product. Groups of rows that share such an n-gram are taken up in
+rounds with four times as many pivots each, the members of small components first, until every pair of a group has been
+multiplied, lies in one component or is ruled out by a bound. Components are therefore those of all links, and a group of n copies
+costs about n products.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
@@ -31,6 +36,10 @@ from winnow.session import cut
 from .components import components
 from .words import WordHashes, as_long, mix, shingles, split_words, texts_of
 
+#: Groups of at most this many rows are multiplied out in one round.
+GROUP = 16
+#: Documents and pairs that a task holds at a time.
+BATCH_ROWS = 1000
 #: Rows of at most this many n-grams are grouped by combinations of their first n-grams instead of by ranges.
 SMALL = 16
 _PART = np.uint64(0xD6E8FEB86659FD93)
@@ -133,25 +142,32 @@ def row_sizes(docs: DataFrame, width: int) -> DataFrame:
 def group_keys(docs: DataFrame, width: int, bounds: Bounds) -> DataFrame:
     """``key, doc_id``: one row per document and group. Equal rows of one task are sent once, as the first of them."""
 
+    def sent(ids, counts, found):
+        return pa.RecordBatch.from_arrays([as_long(np.concatenate(found)), pa.array(np.repeat(np.array(ids, np.int64), counts))], names=["key", "doc_id"])
+
     def emit(batches):
         hashes, seen = WordHashes(), set()
         for batch in batches:
-            ids, counts, found = [], [], []
+            ids, counts, found, held = [], [], [], 0
             for doc_id, row in zip(batch.column("doc_id").to_pylist(), _rows(batch, hashes, width), strict=True):
                 if doc_id is None or len(row) < bounds.least:
                     continue
                 digest = xxhash.xxh128_digest(row.tobytes())
                 if digest in seen:
                     continue
-                if len(seen) >= 1_000_000:
+                if len(seen) >= 200_000:
                     seen.clear()
                 seen.add(digest)
                 keys = bounds.keys(row)
                 ids.append(doc_id)
                 counts.append(len(keys))
                 found.append(keys)
+                held += len(keys)
+                if held > 200_000:  # no batch grows with the texts
+                    yield sent(ids, counts, found)
+                    ids, counts, found, held = [], [], [], 0
             if found:
-                yield pa.RecordBatch.from_arrays([as_long(np.concatenate(found)), pa.array(np.repeat(np.array(ids, np.int64), counts))], names=["key", "doc_id"])
+                yield sent(ids, counts, found)
 
     return docs.select("doc_id", "text").mapInArrow(emit, "key long, doc_id long")
 
@@ -183,29 +199,48 @@ def shared_groups(keys: DataFrame) -> DataFrame:
 
 
 def pivot_pairs(work: DataFrame, pivots: int, bounds: Bounds) -> DataFrame:
-    """``key, node, size, pivot, partners``: each row's products with the first ``pivots`` rows of its group.
+    """The rows of ``work`` with ``pivot`` and ``partners``: each row's products with the first ``pivots`` rows of its group.
 
-    Rows of the same component and of sizes that cannot reach the threshold are no partners.
+    ``work`` has ``key, node, size, own, pos, comp, turn``. ``own`` n-grams of a row cannot be part of an overlap, ``pos`` n-grams come
+    before the one that makes the group, and rows take their ``turn`` as pivots. Rows of the same component and rows that a
+    bound keeps apart are no partners.
     """
 
     def walk(batches):
         at, first = None, []
         for batch in batches:
             out = []
-            for key, node, size, comp in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "size", "comp")), strict=True):
+            for key, node, size, own, pos, comp in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "size", "own", "pos", "comp")), strict=True):
                 if key != at:
                     at, first = key, []
-                partners = [n for n, s, c in first if c != comp and min(s, size) * bounds.den >= max(s, size) * bounds.num]
+                partners = []
+                for n, s, o, p, c in first:
+                    # of two linked rows, the first common n-gram leaves room for the needed overlap in both
+                    if c != comp and bounds.needed(s, size) <= min(s - max(o, p), size - max(own, pos)):
+                        partners.append(n)
                 is_pivot = len(first) < pivots
                 if is_pivot:
-                    first.append((node, size, comp))
-                out.append((key, node, size, is_pivot, partners))
+                    first.append((node, size, own, pos, comp))
+                out.append((key, node, size, own, pos, is_pivot, partners))
             if out:
-                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())), strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "size", "pivot", "partners"])
+                kinds = *(pa.int64(),) * 5, pa.bool_(), pa.list_(pa.int64())
+                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "size", "own", "pos", "pivot", "partners"])
+
+    order = work.select("key", "node", "size", "own", "pos", "comp", "turn").repartition("key").sortWithinPartitions("key", "turn", "node")
+    return order.mapInArrow(walk, "key long, node long, size long, own long, pos long, pivot boolean, partners array<long>")
+
 
-    order = work.select("key", "node", "size", "comp").repartition("key").sortWithinPartitions("key", "node")
-    return order.mapInArrow(walk, "key long, node long, size long, pivot boolean, partners array<long>")
+def rare_grams(rows: DataFrame, bounds: Bounds) -> DataFrame:
+    """``key, node, size, own, pos``: the first n-grams of each row of ``rows (node, row)``, the rarest among these rows first."""
+    grams = rows.select("node", F.explode("row").alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    ordered = grams.join(counts.hint("merge"), "gram").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("g"))
+    size = F.size("g").cast("long")
+    own = F.size(F.filter("g", lambda x: x["n"] == 1)).cast("long")
+    most = F.size("g") - F.ceil(size * bounds.num / bounds.den).cast("int") + 1
+    first = ordered.select("node", size.alias("size"), own.alias("own"), F.posexplode(F.slice("g", 1, most)).alias("pos", "x"))
+    return first.where("x.n > 1").select(F.col("x.gram").alias("key"), "node", "size", "own", F.col("pos").cast("long").alias("pos"))
 
 
 def overlap_reaches(a: np.ndarray, b: np.ndarray, needed: int, ranges: int = 8) -> bool:
@@ -243,25 +278,47 @@ def linked(pairs: DataFrame, rows: DataFrame, bounds: Bounds) -> DataFrame:
     return pairs.join(named[1], "b").join(named[0], "a").select("a", "b", "row_a", "row_b").mapInArrow(decide, "a long, b long")
 
 
+@contextmanager
+def _batches(spark, rows: int):
+    """Arrow batches of at most ``rows`` rows inside the block, so that long texts and rows stay within a task's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs (doc_id, text, ...)``.
 
     Two documents are linked when ``den`` times the overlap of their sets of ``width``-word shingles is at least ``num`` times
     their union; ``component_id`` is the smallest doc_id that links reach. A text with fewer words is one shingle; a
     null, empty or blank text has none and is linked with nothing. Rows with a null doc_id are returned with a null
-    component. Rows that repeat a doc_id stand for one document. An empty table gives an empty result.
+    component. Rows that repeat a doc_id stand for one document, whose
+    near copies are those of its greatest text. An empty table gives an empty result.
     """
-    bounds = Bounds(num, den)
+    with _batches(docs.sparkSession, BATCH_ROWS):
+        return _components(docs, width, Bounds(num, den))
+
+
+def _components(docs: DataFrame, width: int, bounds: Bounds) -> DataFrame:
     sizes = cut(row_sizes(docs, width))
     classes = cut(sizes.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("node")))
     of = sizes.where("n_shingles > 0").join(classes, ["d1", "d2", "n_shingles"]).select("doc_id", "node", F.col("n_shingles").alias("size"))
     shared = cut(shared_groups(group_keys(docs, width, bounds)))
     nodes = shared.join(of, "doc_id").select("key", "node", "size").distinct()
     several = nodes.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    work = cut(nodes.join(several, "key", "left_semi").withColumn("comp", F.col("node")))
-    labels = work.select("node", F.col("node").alias("comp")).distinct()
-    ids = work.select(F.col("node").alias("doc_id")).distinct()
-    rows = cut(incidence(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), width))
+    work = cut(nodes.join(several, "key", "left_semi"))
+    labels = cut(work.select("node", F.col("node").alias("comp")).distinct())
+    ids = labels.select(F.col("node").alias("doc_id"))
+    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+    rows = cut(incidence(texts, width))
+    members = work.groupBy("key").agg(F.count("*").alias("members"))
+    central = work.join(members, "key").groupBy("node").agg((-F.sum("members")).alias("turn"))
+    nothing = F.lit(0).cast("long")
+    work = cut(work.join(central, "node").withColumns({"own": nothing, "pos": nothing, "comp": F.col("node")}))
     tested, pivots = [], 1
     while not work.isEmpty():
         walked = cut(pivot_pairs(work, pivots, bounds))
@@ -275,16 +332,30 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
         joins = components(links.join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         merged = joins.withColumnsRenamed({"id": "comp"})
         labels = cut(labels.join(merged, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")))
-        rest = walked.where("not pivot").select("key", "node", "size").join(labels, "node")
-        open_keys = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        work = cut(rest.join(open_keys, "key", "left_semi"))
-        pivots *= 4
+        rest = _still_open(walked.where("not pivot").drop("pivot", "partners"), labels)
+        if pivots == 1:
+            # small groups are multiplied out as they are; rows of larger ones go over to their rarest n-grams
+            rest = cut(rest)
+            many = rest.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("key")
+            left = cut(rest.join(many, "key", "left_semi").select("node").distinct())
+            rare = _still_open(rare_grams(rows.join(left, "node", "left_semi"), bounds), labels)
+            rest = rest.join(many, "key", "left_anti").unionByName(rare)
+        work = cut(rest)
+        pivots = max(4 * pivots, GROUP)
     named = classes.join(labels, "node", "left").select("d1", "d2", "n_shingles", F.coalesce("comp", "node").alias("component_id"))
     out = sizes.join(named, ["d1", "d2", "n_shingles"], "left")
     alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return out.select("doc_id", "n_shingles", alone.alias("component_id"))
 
 
+def _still_open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of groups that hold several components, with their component; small components take their turn first."""
+    rows = rows.join(labels, "node")
+    several = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    sizes = labels.groupBy("comp").agg(F.count("*").alias("turn"))
+    return rows.join(several, "key", "left_semi").join(sizes, "comp")
+
+
 def incidence(docs: DataFrame, width: int) -> DataFrame:
     """``node, row``: the sorted n-gram hashes of each document, as the join's matrix holds them."""
 

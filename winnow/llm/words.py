@@ -19,7 +19,7 @@ PUNCTUATION = re.compile(rb"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$")
 class WordHashes(dict):
     """64-bit word hashes, remembered up to a fixed number of words per task."""
 
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
