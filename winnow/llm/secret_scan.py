@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from winnow.session import cut
+
 from .words import texts_of
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -118,7 +120,7 @@ def samples(docs: DataFrame, rows: int = 5000) -> tuple[list[str], list[str]]:
                     found.append((0, word.group()[:80]))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([s for _, s in found], pa.string())], names=["random", "sample"])
 
-    drawn = docs.select("text").mapInArrow(collect, "random int, sample string").distinct()
+    drawn = cut(docs.select("text").mapInArrow(collect, "random int, sample string").distinct())
     order = F.md5("sample")
     parts = [[r[0] for r in drawn.where(F.col("random") == k).orderBy(order, "sample").limit(rows).select("sample").collect()] for k in (1, 0)]
     return parts[0], parts[1]
