@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.session import cut
+from winnow.session import broadcast_if_small, cut
 
 from .components import components
 from .words import WordHashes, as_long, mix, shingles, split_words, texts_of
@@ -313,7 +313,7 @@ def _components(docs: DataFrame, width: int, bounds: Bounds) -> DataFrame:
     work = cut(nodes.join(several, "key", "left_semi"))
     labels = cut(work.select("node", F.col("node").alias("comp")).distinct())
     ids = labels.select(F.col("node").alias("doc_id"))
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+    texts = docs.select("doc_id", "text").join(broadcast_if_small(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
     rows = cut(incidence(texts, width))
     members = work.groupBy("key").agg(F.count("*").alias("members"))
     central = work.join(members, "key").groupBy("node").agg((-F.sum("members")).alias("turn"))
