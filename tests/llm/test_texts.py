@@ -122,6 +122,38 @@ def test_tree_matching_counts_nodes():
     assert [(x.own_text(), y.own_text()) for x, y in pairs if x.tag == "p"] in ([("x", "x"), ("y", "z")], [("y", "z"), ("x", "x")])
 
 
+def best_matching(a, b):
+    """Matched nodes by plain recursion."""
+    if a.tag != b.tag:
+        return 0
+
+    def chain(x, y):
+        return max(chain(x[1:], y), chain(x, y[1:]), best_matching(x[0], y[0]) + chain(x[1:], y[1:])) if x and y else 0
+
+    return 1 + chain(a.elements(), b.elements())
+
+
+def test_tree_matching_is_the_largest(monkeypatch):
+    rng = random.Random(7)
+
+    def tree(depth):
+        return "".join(f"<{t}>{rng.choice('xyz')}{tree(depth - 1)}</{t}>" for t in rng.choices(["div", "b", "section"], k=rng.randrange(5))) if depth else ""
+
+    for cells in (1_000_000, 2):
+        monkeypatch.setattr(wrapper_induction, "CELLS", cells)
+        for _ in range(60):
+            a, b = wrapper_induction.parse(tree(2)), wrapper_induction.parse(tree(2))
+            score, pairs = wrapper_induction.align(a, b)
+            assert score == len(pairs) == best_matching(a, b)
+
+
+def test_an_extra_child_or_a_long_list_moves_nothing():
+    for extra, n in (("<div>new</div>", 1), ("", 900)):
+        a = wrapper_induction.parse(f"<div>{extra}<div><p>one</p><p>two</p></div>" + "".join(f"<div><i>a{i}</i></div><p>p{i}</p>" for i in range(n)) + "<div>Imprint</div></div>")
+        b = wrapper_induction.parse("<div><div><p>other</p></div>" + "".join(f"<p>q{i}</p><div><b>b{i}</b></div>" for i in range(n // 2)) + "<div>Imprint</div></div>")
+        assert ("Imprint", "Imprint") in [(x.own_text(), y.own_text()) for x, y in wrapper_induction.align(a, b)[1]]
+
+
 def test_pages_take_odd_rows(spark):
     rows = [(1, None, None), (2, "", ""), (3, "no url", "<p>a</p>"), (None, "http://h/x", "just text &lt;&#65;"), (4, "http://h/y", "<<<a <p <b>>"), (4, "http://h/y", "<<<a <p <b>>"), (5, "http://h/z", "<div>" * 5000 + "deep" + "</div>" * 5000)]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
