@@ -122,6 +122,26 @@ def test_tree_matching_counts_nodes():
     assert [(x.own_text(), y.own_text()) for x, y in pairs if x.tag == "p"] in ([("x", "x"), ("y", "z")], [("y", "z"), ("x", "x")])
 
 
+def test_boilerplate_inside_the_article_is_template(spark):
+    """Boxes without a telling class inside the article, one of them on the pages of a rarer type only."""
+    rng = random.Random(6)
+
+    def prose():
+        return " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))
+
+    rows, want = [], {}
+    for i in range(60):
+        parts, rare = [prose() for _ in range(2 + i % 3)], i % 5 == 0
+        body = [f"<p>{x} <a href=/>see here</a></p>" for x in parts]
+        body.insert(i % 2 + 1, "<div>Our letter brings you all the <b>best</b> stories every week</div>")
+        if rare:
+            body = ["<div class=kit>All recipes of this kitchen may be copied for use at home</div>", *body]
+        rows.append((i, f"http://d.example/{i}", "<article>" + "".join(body) + "<p>Text under a free licence, see the terms</p></article>"))
+        want[i] = "\n".join(f"{x} see here" for x in parts)
+    found = {r.page_id: r.text for r in wrapper_induction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == want
+
+
 def best_matching(a, b):
     """Matched nodes by plain recursion."""
     if a.tag != b.tag:

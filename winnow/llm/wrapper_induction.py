@@ -290,12 +290,17 @@ def content_root(page: Node) -> Node | None:
 
 
 def blocks(root: Node) -> list[str]:
-    """Text of the blocks below ``root`` in page order, white space made single spaces."""
+    """Text of the blocks below ``root`` in page order, white space made single spaces, without blocks of the template.
+
+    A block is left out if all elements that its text comes from are constant; constant words inside a varying line stay.
+    """
     out, current = [], []
+    # a slot that is constant throughout is no template around something else
+    every = all(n.template for n in _order(root) if n.own_text() and not (n.out and n is not root))
 
     def end():
-        text = " ".join("".join(current).split())
-        if text:
+        text = " ".join("".join(piece for piece, _ in current).split())
+        if text and (every or any(fresh for piece, fresh in current if piece.strip())):
             out.append(text)
         current.clear()
 
@@ -304,15 +309,15 @@ def blocks(root: Node) -> list[str]:
         item = stack.pop()
         if item is None:
             end()
-        elif isinstance(item, str):
+        elif isinstance(item, tuple):
             current.append(item)
         elif not item.out or item is root:
             if item.tag in BLOCK:
                 end()
                 stack.append(None)
-            elif item.tag in ("br", "wbr", "img"):
-                current.append(" " if item.tag == "br" else "")
-            stack.extend(reversed(item.children))
+            elif item.tag == "br":
+                current.append((" ", False))
+            stack.extend((c, not item.template) if isinstance(c, str) else c for c in reversed(item.children))
     end()
     return out
 
