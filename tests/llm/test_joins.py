@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from winnow.llm import decontamination, jaccard_join, line_dedup
@@ -171,6 +172,41 @@ def test_blocks_of_short_lines_go_together():
     assert line_dedup.aligned_blocks([], [1], [], 1) == []
 
 
+def test_passages_of_short_lines_go_from_later_documents(spark):
+    """Verse, code with repeated lines, blank lines between, and short lines around a long one whose first holder is another document."""
+    rng = random.Random(9)
+
+    def line(n):
+        return " ".join(f"s{rng.randrange(10**6)}" for _ in range(n))
+
+    verse, long = [line(rng.randrange(1, 7)) for _ in range(20)], line(12)
+    code = ["if a b:", "}", "do c d", "}", "end of it", "}"]
+    mixed = [line(5), line(4), long, line(7), line(2), line(1)]
+    own = [[line(3), line(2)] for _ in range(9)]
+    rows = [
+        (1, [long, *own[0]]), (2, [*own[1], *verse, *own[2]]), (3, [*own[3], *mixed]), (4, ["}", "}", *own[4], *code]),
+        (5, [own[5][0], *verse, own[5][1]]), (6, [own[6][0], *[x for v in verse for x in (v, "")], own[6][1]]), (7, [own[7][0], *mixed]), (8, [own[8][0], *code]),
+    ]
+    found = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame([(i, "\n".join(x)) for i, x in rows], SCHEMA).repartition(4)).collect()}
+    assert {i: [x for x in found[i].split("\n") if x] for i in found} == {**{i: x for i, x in rows[:4]}, 3: [*own[3], *(x for x in mixed if x != long)], 5: own[5], 6: own[6], 7: [own[7][0]], 8: [own[8][0]]}
+
+
+def test_runs_cover_every_passage():
+    rng = random.Random(10)
+    for _ in range(200):
+        words = np.array([rng.randrange(1, 12) for _ in range(rng.randrange(12))], np.int64)
+        lines = np.array([rng.randrange(5) for _ in words], np.int64)
+        first, last, keys = line_dedup.runs(lines, words, 8)
+        assert len(keys) <= 2 * len(words) and all(words[a : b + 1].sum() >= 8 for a, b in zip(first, last, strict=True))
+        for i in range(len(words)):
+            for e in range(i, len(words)):
+                if words[i : e + 1].sum() >= 8:
+                    assert {k for a, b in zip(first, last, strict=True) if i <= a and b <= e for k in range(a, b + 1)} == set(range(i, e + 1))
+        same = {}
+        for a, b, key in zip(first.tolist(), last.tolist(), keys.tolist(), strict=True):
+            assert same.setdefault(key, lines[a : b + 1].tolist()) == lines[a : b + 1].tolist()
+
+
 def test_line_dedup_takes_odd_rows(documents, nothing):
     found = line_dedup.dedup_lines(documents)
     assert found.count() == documents.count()
