@@ -257,6 +257,20 @@ def test_secrets_of_fixed_form_and_by_models(spark, documents):
     assert secret_scan.scan(documents, secret_scan.fit(documents)).count() == documents.count()
 
 
+def test_short_letters_only_and_digitless_strings_are_scored(spark):
+    rng = random.Random(13)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = ["".join(rng.choice(["con", "fig", "ura", "tion", "under", "stand", "ing", "respon", "sible"]) for _ in range(4)) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(30)) + " token=" + "".join(rng.choice(letters + "0123456789") for _ in range(100))) for i in range(400)]
+    loose = ["qX7vRk2Zp9Wd", "kQzXvJwRtBpLmHgYcDnF", "Zq8" + "XwKvJpQzRbTgHyNcMdLf"]
+    rows += [(900 + i, f"see {x} here") for i, x in enumerate(loose)] + [(950, "see configuration understanding responsible here")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert max(len(x) for x in secret_scan.samples(docs)[0]) == 100
+    found = {r.doc_id: r.spans for r in secret_scan.scan(docs, secret_scan.fit(docs)).collect()}
+    assert [found[900 + i] for i in range(3)] == [f"markov:4:{4 + len(x)}" for x in loose]
+    assert found[950] == "" and not any("markov" in found[i] for i in range(400))
+
+
 def test_pipeline_stages_keep_columns_and_take_effect(spark, tmp_path):
     import corpus_pipeline
 

@@ -2,8 +2,8 @@
 
 Both models are second-order chains over a reduced alphabet (a-z, A-Z, digits, the marks of base64). They are trained on labelled samples
 from the scanned texts themselves: what the fixed forms found stands for random strings, ordinary words and identifiers for
-the other class. A long unbroken token that no fixed form covers becomes a span when its
-log-likelihood ratio for each character passes a threshold.
+the other class. An unbroken token of eight and more characters that no fixed form covers becomes a span when its whole
+log-likelihood ratio passes a threshold, so a short token needs clearer characters than a long one.
 """
 
 from __future__ import annotations
@@ -23,13 +23,15 @@ from .words import texts_of
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: Tokens that the models look at: long, with two digits and two letters.
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-WORD = re.compile(r"[A-Za-z][A-Za-z0-9_-]{7,}")
+#: Characters of the tokens that the models look at, and the fewest of them.
+_TOKEN = "A-Za-z0-9+/_=-"
+SHORTEST = 8
+TOKEN = re.compile(rf"(?<![{_TOKEN}])[{_TOKEN}]{{{SHORTEST},}}")
 KINDS = ("assign", "access", "hex", "markov")
 _ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 _CODE = np.full(128, len(_ALPHABET) - 1, np.int64)
 _CODE[[ord(c) for c in _ALPHABET]] = range(len(_ALPHABET))
+_IN_TOKEN = np.array([re.match(f"[{_TOKEN}]", chr(i)) is not None for i in range(128)])
 Span = tuple[int, int, int]
 
 
@@ -56,52 +58,57 @@ class Chain:
             np.add.at(one, codes, 1)
             np.add.at(two, (codes[:-1], codes[1:]), 1)
             np.add.at(three, (codes[:-2] * n + codes[1:-1], codes[2:]), 1)
-        first = self._drawn(two, one / one.sum())
-        self.logs = np.log(self._drawn(three, np.tile(first, (n, 1))))
+        one = one / one.sum()
+        first = self._drawn(two, one)
+        #: Logarithms for the first character, the second, and each later one.
+        self.logs = np.log(one), np.log(first), np.log(self._drawn(three, np.tile(first, (n, 1))))
 
     @staticmethod
     def _drawn(counts: np.ndarray, below: np.ndarray, pull: float = 8.0) -> np.ndarray:
         return (counts + pull * below) / (counts.sum(axis=1, keepdims=True) + pull)
 
-    def mean(self, codes: np.ndarray) -> float:
-        n = len(_ALPHABET)
-        return float(self.logs[codes[:-2] * n + codes[1:-1], codes[2:]].mean()) if len(codes) > 2 else 0.0
-
 
 def _codes(token: str) -> np.ndarray:
     return _CODE[np.frombuffer(token.encode("ascii"), np.uint8)]
 
 
 class Models:
-    def __init__(self, random: list[str], ordinary: list[str], threshold: float = 1.0):
-        self.random, self.ordinary, self.threshold = Chain(random), Chain(ordinary), threshold
+    def __init__(self, random: list[str], ordinary: list[str], threshold: float = 12.0):
+        self.logs = tuple(r - o for r, o in zip(Chain(random).logs, Chain(ordinary).logs, strict=True))
+        self.threshold = threshold
         self.trained = bool(random) and bool(ordinary)
 
+    def ratios(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Log-likelihood ratio of each token, of three and more characters, by its places in ``codes``."""
+        n, (one, two, three) = len(_ALPHABET), self.logs
+        sums = np.concatenate((np.zeros(3), np.cumsum(three[codes[:-2] * n + codes[1:-1], codes[2:]])))
+        return one[codes[starts]] + two[codes[starts], codes[starts + 1]] + sums[ends] - sums[starts + 2]
+
     def ratio(self, token: str) -> float:
-        codes = _codes(token)
-        return self.random.mean(codes) - self.ordinary.mean(codes)
+        return float(self.ratios(_codes(token), np.array([0]), np.array([len(token)]))[0])
 
     def spans(self, text: str, base: list[Span]) -> list[Span]:
-        """Tokens without a character of a base span whose ratio passes the threshold."""
-        if not self.trained:
+        """Tokens with a letter and without a character of a base span whose ratio passes the threshold."""
+        if not self.trained or len(text) < SHORTEST:
             return []
-        out = []
-        for m in TOKEN.finditer(text):
-            token = m.group()
-            if sum(c.isdigit() for c in token) < 2 or sum(c.isalpha() for c in token) < 2:
-                continue
-            if any(m.start() < end and start < m.end() for _, start, end in base):
-                continue
-            if self.ratio(token) > self.threshold:
-                out.append((3, m.start(), m.end()))
-        return out
+        points = np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), 127)
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], _IN_TOKEN[points], [False])).astype(np.int8)))
+        starts, ends = edges[::2], edges[1::2]
+        long = ends - starts >= SHORTEST
+        starts, ends = starts[long], ends[long]
+        codes = _CODE[points]
+        # a token without a letter is a number: telephones, cards, amounts
+        letters = np.concatenate(([0], np.cumsum(codes < 52)))
+        passed = (self.ratios(codes, starts, ends) > self.threshold) & (letters[ends] > letters[starts])
+        found = zip(starts[passed].tolist(), ends[passed].tolist(), strict=True)
+        return [(3, start, end) for start, end in found if not any(start < e and s < end for _, s, e in base)]
 
 
 def samples(docs: DataFrame, rows: int = 5000) -> tuple[list[str], list[str]]:
     """At most ``rows`` distinct labelled strings of each class, the first in the order of a digest.
 
-    Random strings are the values of fixed forms, at most 80 characters of each. Ordinary ones are words of eight and more
-    characters, one for each text, that no fixed form covers and that have no digit.
+    Random strings are the values of fixed forms. Ordinary ones are tokens of eight and more
+    characters, one for each text, that no fixed form covers. Both are taken whole.
     """
 
     def collect(batches):
@@ -112,12 +119,11 @@ def samples(docs: DataFrame, rows: int = 5000) -> tuple[list[str], list[str]]:
                 base = base_spans(text)
                 for kind, start, end in base:
                     value = ASSIGN.match(text, start).group(2) if kind == 0 else text[start:end]
-                    if any(c.isdigit() for c in value):
-                        found.append((1, value[:80]))
+                    found.append((1, value))
                 at = len(text) and int.from_bytes(hashlib.blake2b(raw, digest_size=4).digest()) % len(text)
-                word = next((m for m in WORD.finditer(text, at) if not any(c.isdigit() for c in m.group()) and not any(s < m.end() and m.start() < e for _, s, e in base)), None)
+                word = next((m for m in TOKEN.finditer(text, at) if not any(s < m.end() and m.start() < e for _, s, e in base)), None)
                 if word:
-                    found.append((0, word.group()[:80]))
+                    found.append((0, word.group()))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([s for _, s in found], pa.string())], names=["random", "sample"])
 
     drawn = cut(docs.select("text").mapInArrow(collect, "random int, sample string").distinct())
