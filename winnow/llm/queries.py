@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, edit_counts, jaccard_join, line_dedup, mixing, pseudonyms, quality_rules, secret_scan, toxicity, wrapper_induction
+from . import (
+    decontamination,
+    edit_counts,
+    jaccard_join,
+    license_scan,
+    line_dedup,
+    merkle_manifest,
+    mixing,
+    prefix_trie,
+    pseudonyms,
+    quality_rules,
+    secret_scan,
+    toxicity,
+    wrapper_induction,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,3 +156,40 @@ def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_decontamination")
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+TRIE_SQL = rf"""
+WITH {merkle_manifest.CRC_SQL.strip()},
+ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+hs AS (SELECT c, {merkle_manifest.crc_of("c::VARCHAR")} % 9 AS h FROM ids, crc),
+x AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+y AS (SELECT *, substr(sha256(strlen(role)::VARCHAR || ':' || role || text), 1, 32) AS g FROM x),
+t AS (SELECT c, g, strlen(text) AS b, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, g) - 1 AS p FROM y),
+u AS (
+  SELECT hs.c, 0 AS own, p, g, b FROM hs JOIN t ON t.c = hs.c - hs.c % 5 AND p < h
+  UNION ALL SELECT hs.c, 1 AS own, p, g, b FROM hs JOIN t ON t.c = hs.c AND p >= h),
+q AS (SELECT c, b, row_number() OVER w AS d, string_agg(g, '') OVER w AS path FROM u WINDOW w AS (PARTITION BY c ORDER BY own, p)),
+m AS (SELECT c, 0 AS d, '' AS path, 0 AS b FROM hs UNION ALL SELECT c, d, path, b FROM q),
+e AS (SELECT *, d = max(d) OVER (PARTITION BY c) AS last FROM m),
+n AS (SELECT path, d, min(c) AS conv_id, count(*) AS n_convs, any_value(b) AS b, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '')) AS ends_sha256 FROM e GROUP BY path, d),
+k AS (SELECT substr(path, 1, 32 * (d - 1)) AS path, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+s AS (SELECT substr(path, 1, 32 * a) AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * b) AS saved_tokens FROM (SELECT *, unnest(range(d + 1)) AS a FROM f) GROUP BY 1)
+SELECT f.conv_id, f.d::BIGINT AS depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
+FROM f JOIN s USING (path) LEFT JOIN n up ON f.d > 0 AND up.path = substr(f.path, 1, 32 * (f.d - 1))
+"""
+
+
+@query("op11_prefix_trie", TRIE_SQL)
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, folder, "conversations"))
+
+
+@query("op12_license_scan", license_scan.sql())
+def op12_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(table(spark, folder, "documents"))
+
+
+@query("op13_merkle_manifest", merkle_manifest.sql())
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle_manifest.audit(table(spark, folder, "documents"))
