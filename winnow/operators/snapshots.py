@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, require_empty
+from ..session import broadcast_if_small
 
 
 def diff_snapshot(prior: DataFrame, current: DataFrame, *, key: Sequence[str], fingerprint: Sequence[str], keep_flag: str | None = None) -> DataFrame:
@@ -117,12 +117,6 @@ def upsert(base: DataFrame, rows: DataFrame, *, key: str, seq: str) -> DataFrame
     )
 
 
-def save_analyses(base: DataFrame, rows: DataFrame, entities: DataFrame, *, key: str = "photo_id", seq: str = "seq") -> DataFrame:
-    """All-or-nothing analysis upsert: an unknown id refuses the whole batch."""
-    require_empty(rows.select(key).join(entities.select(key), key, "left_anti"), "unknown ids in batch")
-    return upsert(base, rows, key=key, seq=seq)
-
-
 def explode_items(analyses: DataFrame, *, key: str = "photo_id", items: str = "faces") -> DataFrame:
     """One row per nested item with its position."""
     return analyses.select(key, F.posexplode(items).alias("item_index", "item")).select(

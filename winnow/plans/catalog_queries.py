@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.identity import media_format, safe_relative, variant_key
-from ..operators import audits, catalog, latest, log, ranking, sampling, snapshots
+from ..operators import audits, catalog, latest, log, ranking, sampling, snapshots, stored
+from ..session import ContractViolation, shared_folder
 from ..settings import Settings
 from ..sources import annotations, decisions, manifests, payloads, sidecars
 from .registry import query
@@ -39,16 +42,48 @@ def narrow_analyses(d):
     return payloads.project_payload(d.payloads)
 
 
+_DIGESTS: dict[str, str] = {}
+_STORES: dict[tuple, stored.StoredCatalog] = {}
+
+
 def settings_digest(spark) -> str:
-    """Digest of the default settings as the stored-settings expression writes it."""
+    """Digest of the default settings as the stored-settings expression writes it; found once in an application."""
     from ..settings import scoring_settings_key
 
-    return spark.range(1).select(scoring_settings_key(F.lit("{}")).alias("k")).first()["k"]
+    app = spark.sparkContext.applicationId
+    if app not in _DIGESTS:
+        _DIGESTS[app] = spark.range(1).select(scoring_settings_key(F.lit("{}")).alias("k")).first()["k"]
+    return _DIGESTS[app]
+
+
+def states(decisions, marks):
+    return latest.decision_state(decisions).join(latest.mark_state(marks), "photo_id", "full_outer")
+
+
+def new_store(d, name: str) -> stored.StoredCatalog:
+    return stored.StoredCatalog(d.spark, f"{shared_folder(d.spark)}/winnow-{name}-{uuid.uuid4().hex}")
+
+
+def stored_catalog(d) -> stored.StoredCatalog:
+    """The stored catalog over a folder's tables: written by the first page of an application, refreshed by changed keys when a table was replaced."""
+    paths = d.spark._jvm.org.apache.hadoop.fs.Path
+    places = [paths(f"{d.folder}/{t}.parquet") for t in ("documents", "events")]
+    files = places[0].getFileSystem(d.spark._jsc.hadoopConfiguration())
+    written = tuple(files.getFileStatus(p).getModificationTime() for p in places)
+    key = (d.spark.sparkContext.applicationId, d.folder)
+    store, seen = _STORES.get(key, (None, None))
+    if store is None:
+        store = new_store(d, "catalog")
+        store.save({"entities": d.entities, "analyses": stored.hashed_analyses(d.payloads, payloads.project_payload), "states": states(d.decision_log, d.mark_log)})
+    elif seen != written:
+        store.refresh_analyses(d.payloads, payloads.project_payload)
+        store.refresh({"entities": d.entities, "states": states(d.decision_log, d.mark_log)})
+    _STORES[key] = (store, written)
+    return store
 
 
 def candidate_view(d):
-    masked = catalog.freshness(narrow_analyses(d), version=VERSION, settings_key=settings_digest(d.spark))
-    return catalog.candidates(entity_state(d), masked)
+    return stored_catalog(d).rows(version=VERSION, settings_key=settings_digest(d.spark))
 
 
 def classified(d):
@@ -174,6 +209,31 @@ def analysis_upsert(d):
     )
 
 
+@query("saved_analyses", "A11 J9", """
+SELECT photo_id, max(k) AS seq, round(arg_max(sharpness_lap, k), 6) AS sharpness_lap, arg_max(decision, k) AS decision
+FROM (SELECT photo_id, k, sharpness_lap, 'first' AS decision FROM shots WHERE photo_id % 3 <> 0
+      UNION ALL SELECT photo_id, k + 1, sharpness_lap + 1, 'second' FROM shots WHERE photo_id % 2 = 0) AS saved GROUP BY photo_id""", ["shots"])
+def saved_analyses(d):
+    """Four saves: one goes through, one has an id that no entity has, one has a task that fails, one goes through."""
+    table = stored.VersionedTable(d.spark, f"{shared_folder(d.spark)}/winnow-saved-{uuid.uuid4().hex}")
+    shots = d.shots.select("photo_id", F.col("k").alias("seq"), "sharpness_lap")
+    first = shots.where("photo_id % 3 <> 0").withColumn("decision", F.lit("first"))
+    second = shots.where("photo_id % 2 = 0").select("photo_id", (F.col("seq") + 1).alias("seq"), (F.col("sharpness_lap") + 1).alias("sharpness_lap"), F.lit("second").alias("decision"))
+    kept = stored.save_analyses(table, first, shots)
+    unknown = second.withColumn("photo_id", F.when(F.col("photo_id") % 1000 == 0, -1).otherwise(F.col("photo_id")))
+    failing = second.withColumn("decision", F.when(F.col("photo_id") % 1000 == 0, F.raise_error(F.lit("broken row"))).otherwise(F.col("decision")))
+    for batch, error in ((unknown, ContractViolation), (failing, Exception)):
+        try:
+            stored.save_analyses(table, batch, shots)
+        except error:
+            if table.commits.latest() != kept:
+                raise
+        else:
+            raise AssertionError("a batch that had to be refused was saved")
+    stored.save_analyses(table, second, shots)
+    return table.read().withColumn("sharpness_lap", F.round("sharpness_lap", 6)).select("photo_id", "seq", "sharpness_lap", "decision")
+
+
 @query("face_rows", "A11", """
 SELECT photo_id, i AS item_index, round(confidence, 6) AS confidence, round(bx, 3) AS x, smile IS NULL AS no_smile FROM faces""", ["faces"])
 def face_rows(d):
@@ -401,6 +461,23 @@ def catalog_page_members(d):
     return catalog.catalog_page(candidate_view(d), f, scene_members=members).select(*PAGE_COLUMNS)
 
 
+@query("catalog_refreshed", "B1 B2 B3 C1", f"WITH {STATE} SELECT {PAGE}, missing, quarantined, size_bytes FROM state", STATE_VIEWS)
+def catalog_refreshed(d):
+    """A stored catalog of older tables, brought to the present ones by changed keys: new, changed and lost rows of each part."""
+    store, size = new_store(d, "refreshed"), F.col("size_bytes")
+    older = d.entities.where(size % 11 != 0).withColumn("size_bytes", F.when(size % 10 == 0, size + 1).otherwise(size))
+    lost = d.entities.where(size % 13 == 1).withColumn("photo_id", -1 - F.col("photo_id"))
+    held = d.payloads.where("photo_id % 9 <> 0").withColumn("data", F.when(F.col("photo_id") % 7 == 0, "{}").otherwise(F.col("data")))
+    store.save({
+        "entities": older.unionByName(lost),
+        "analyses": stored.hashed_analyses(held, payloads.project_payload),
+        "states": states(d.decision_log.where("seq % 4 <> 0"), d.mark_log.where("seq % 3 <> 0")),
+    })
+    store.refresh_analyses(d.payloads, payloads.project_payload)
+    store.refresh({"entities": d.entities, "states": states(d.decision_log, d.mark_log)})
+    return store.rows(version=VERSION, settings_key=settings_digest(d.spark)).select(*PAGE_COLUMNS, "missing", "quarantined", "size_bytes")
+
+
 @query("freshness_counts", "B2 B8", f"WITH {STATE} SELECT status, verdict, count(*) AS n FROM state GROUP BY 1, 2", STATE_VIEWS)
 def freshness_counts(d):
     return candidate_view(d).groupBy("status", "verdict").agg(F.count("*").alias("n"))
