@@ -20,16 +20,15 @@ def _place(d, name: str) -> str:
 PARTS = 4
 
 
-def arrive(table, key: str, place: str, parts) -> None:
-    """Files of a table as they arrive, one after the other: rows whose key has each remainder."""
-    for part in parts:
-        table.filter(F.pmod(F.col(key), F.lit(PARTS)) == part).coalesce(1).write.mode("append").parquet(f"{place}/in")
+def arrive(table, key: str, place: str, part: int) -> None:
+    """One arrival of a table, with as many files as it has tasks: rows whose key (0 if it has none) has this remainder."""
+    rows = table.filter(F.pmod(F.coalesce(F.col(key), F.lit(0)), F.lit(PARTS)) == part)
+    rows.write.parquet(f"{place}/in/arrival-{part}-{uuid.uuid4().hex}")
 
 
-def event_stream(d, place: str, parts=range(PARTS)):
-    """The events as several files, each a micro-batch of its own."""
-    arrive(d.events, "event_id", place, parts)
-    return live.file_stream(d.spark, f"{place}/in", schema=d.events.schema, files_per_batch=1)
+def arrived(d, table, place: str):
+    """All arrivals as a stream; a run takes what is new in micro-batches bounded by their bytes."""
+    return live.file_stream(d.spark, f"{place}/in/*", schema=table.schema, files_per_batch=None)
 
 
 def as_log(events):
@@ -49,79 +48,128 @@ FROM events WHERE CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 10 <> 0
 def streamed_decisions(d):
     """Every trigger appends the keys it changed; the newest row per key is the state."""
     place = _place(d, "state")
-    state = live.live_decisions(as_log(event_stream(d, place)))
-    run = (
-        state.writeStream.outputMode("update")
-        .foreachBatch(live.batch_table(f"{place}/out"))
-        .option("checkpointLocation", f"{place}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    run.awaitTermination()
+    for part in range(PARTS):
+        arrive(d.events, "event_id", place, part)
+        state = live.live_decisions(as_log(arrived(d, d.events, place)))
+        run = (
+            state.writeStream.outputMode("update")
+            .foreachBatch(live.batch_table(f"{place}/out"))
+            .option("checkpointLocation", f"{place}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        run.awaitTermination()
     out = d.spark.read.parquet(f"{place}/out").drop("batch")
     return snapshots.upsert(out, out.limit(0), key="photo_id", seq="seq").select("photo_id", "seq", "decision")
 
 
+def ingested(rows):
+    """What a document becomes; one that can't be read gets its error."""
+    return rows.select("doc_id", F.sha2("text", 256).alias("sha256"), "n_chars", F.when(F.col("n_chars") % 10 == 0, "unreadable").alias("error"))
+
+
 @query("streamed_ingest", "O1 O2 O5", """
-SELECT doc_id, sha256(text) AS sha256, n_chars FROM documents WHERE n_chars % 10 <> 0""")
+SELECT doc_id, sha256(text) AS sha256, n_chars FROM documents WHERE n_chars % 10 <> 0 OR n_chars IS NULL""")
 def streamed_ingest(d):
-    """The first file is committed alone, then the others in batches; rows marked bad go to dead letters."""
+    """The first arrival is committed alone, then the others in batches; rows marked bad go to dead letters."""
     place = _place(d, "ingest")
+    for part in range(PARTS):
+        arrive(d.documents, "doc_id", place, part)
+        sinks = live.two_sinks(live.batch_table(place + "/out"), live.batch_table(place + "/dead"))
+        live.publish(ingested(arrived(d, d.documents, place)), sinks, checkpoint=place + "/checkpoint").awaitTermination()
+    return d.spark.read.parquet(place + "/out").drop("batch")
+
 
-    def commit(parts):
-        arrive(d.documents, "doc_id", place, parts)
-        stream = live.file_stream(d.spark, f"{place}/in", schema=d.documents.schema, files_per_batch=2)
-        rows = stream.select(
-            "doc_id", F.sha2("text", 256).alias("sha256"), "n_chars", F.when(F.col("n_chars") % 10 == 0, "unreadable").alias("error")
+@query("streamed_retry", "O5", "SELECT doc_id, sha256(text) AS sha256, n_chars, CASE WHEN n_chars % 10 = 0 THEN 'retried' ELSE 'first' END AS run FROM documents")
+def streamed_retry(d):
+    """Ingest with rows that fail, repair of what failed, and a stream over the dead letters: together they are a clean run."""
+    place = _place(d, "retry")
+    for part in range(PARTS):
+        arrive(d.documents, "doc_id", place, part)
+        sinks = live.two_sinks(live.batch_table(place + "/out"), live.batch_table(place + "/dead"))
+        live.publish(ingested(arrived(d, d.documents, place)), sinks, checkpoint=place + "/checkpoint").awaitTermination()
+        # Letters of this arrival only: the checkpoint remembers which were taken.
+        letters = live.file_stream(d.spark, place + "/dead/*", schema="doc_id long", files_per_batch=None)
+        failing = d.documents.where("n_chars % 10 = 0")
+        run = live.retry_stream(
+            letters, failing, lambda rows: rows.select("doc_id", F.sha2("text", 256).alias("sha256"), "n_chars"), live.batch_table(place + "/again"), key=["doc_id"], checkpoint=place + "/retries"
         )
-        good, _ = live.split_failures(rows)
-        live.publish(good, live.batch_table(place + "/out"), checkpoint=place + "/checkpoint").awaitTermination()
+        run.awaitTermination()
+    columns = ["doc_id", "sha256", "n_chars"]
+    first = d.spark.read.parquet(place + "/out").select(*columns, F.lit("first").alias("run"))
+    return first.unionByName(d.spark.read.parquet(place + "/again").select(*columns, F.lit("retried").alias("run")))
+
 
-    commit([0])
-    commit(range(1, PARTS))
+def requested(d, request, place: str, parts):
+    """Arrivals of requests through the keyed first-seen state, each a run of its own that starts from the checkpoint of the last."""
+    for part in parts:
+        arrive(d.events, "event_id", place, part)
+        with live.keyed_state(d.spark):
+            run = live.publish(live.first_seen(request(arrived(d, d.events, place))), live.batch_table(place + "/out"), checkpoint=place + "/checkpoint")
+        run.awaitTermination()
     return d.spark.read.parquet(place + "/out").drop("batch")
 
 
 @query("streamed_requests", "K8 O5", """
 SELECT DISTINCT user_id || ':' || event_type AS request_id FROM events""")
 def streamed_requests(d):
-    """Every file arrives, and the first one once more after all others: a request is accepted once."""
-    place = _place(d, "requests")
+    """Every arrival comes, and the first one once more after all others: a request is accepted once."""
 
-    def commit(parts):
-        asked = event_stream(d, place, parts).select(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("request_id"))
-        live.publish(asked, live.journaled(place + "/out"), checkpoint=place + "/checkpoint").awaitTermination()
+    def request(events):
+        return events.select(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("request_id"), F.lit("").alias("arguments"), F.col("event_id").alias("seq"))
 
-    commit(range(PARTS))
-    commit([0])
-    return d.spark.read.parquet(place + "/out").drop("batch")
+    found = requested(d, request, _place(d, "requests"), [*range(PARTS), 0])
+    return found.where("outcome = 'accepted'").select("request_id")
+
+
+@query("streamed_replays", "K8", f"""
+WITH r AS (SELECT user_id || ':' || CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS request_id, event_type AS arguments, event_id, coalesce(event_id, 0) % {PARTS} AS part FROM events),
+f AS (SELECT request_id, arg_min(arguments, (part, event_id, arguments)) AS first FROM r GROUP BY 1),
+c AS (SELECT request_id, arguments, first, count(*) + count(*) FILTER (part = 0) AS n FROM r JOIN f USING (request_id) GROUP BY ALL)
+SELECT request_id, arguments, 'accepted' AS outcome, 1 AS n FROM c WHERE arguments = first
+UNION ALL SELECT request_id, arguments, CASE WHEN arguments = first THEN 'replayed' ELSE 'mismatch' END, n - (arguments = first)::INT FROM c WHERE n > (arguments = first)::INT""")
+def streamed_replays(d):
+    """Requests with arguments: what an id was first accepted with decides whether a later one is a replay or an error."""
+
+    def request(events):
+        k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
+        return events.select(F.concat_ws(":", F.col("user_id").cast("string"), k.cast("string")).alias("request_id"), F.col("event_type").alias("arguments"), F.col("event_id").alias("seq"))
+
+    found = requested(d, request, _place(d, "replays"), [*range(PARTS), 0])
+    return found.groupBy("request_id", "arguments", "outcome").agg(F.sum("n").alias("n"))
 
 
 @query("streamed_guard", "O3 O2", f"""
-SELECT event_id, value FROM events WHERE event_id % {PARTS} < 2""")
+SELECT event_id, value FROM events WHERE coalesce(event_id, 0) % {PARTS} < 2""")
 def streamed_guard(d):
-    """The settings change while the second batch is written: what was computed with the old ones is refused from then on."""
+    """The settings change while the second arrival is written: what was computed with the old ones is refused from then on."""
     place = _place(d, "guard")
     settings, store = ["first"], live.batch_table(place + "/out")
-
-    def write(batch, batch_id):
-        store(batch, batch_id)
-        if batch_id == 1:
-            settings[0] = "second"
-
-    run = live.publish(event_stream(d, place).select("event_id", "value"), live.guarded(write, lambda: settings[0], "first"), checkpoint=place + "/checkpoint")
-    try:
-        run.awaitTermination()
-    except StreamingQueryException:
-        return d.spark.read.parquet(place + "/out").drop("batch")
+    for part in range(PARTS):
+        arrive(d.events, "event_id", place, part)
+
+        def write(batch, batch_id, part=part):
+            store(batch, batch_id)
+            if part == 1:
+                settings[0] = "second"
+
+        run = live.publish(arrived(d, d.events, place).select("event_id", "value"), live.guarded(write, lambda: settings[0], "first"), checkpoint=place + "/checkpoint")
+        try:
+            run.awaitTermination()
+        except StreamingQueryException:
+            if part == 2:
+                return d.spark.read.parquet(place + "/out").drop("batch")
+            raise
     raise AssertionError("the stale writer was not refused")
 
 
 @query("streamed_progress", "O7", f"""
-SELECT event_id % {PARTS} AS batch, count(*) AS rows, 'progress' AS phase FROM events GROUP BY 1
-UNION ALL SELECT -1, count(*), 'finished' FROM events""")
+SELECT 'arrival ' || coalesce(event_id, 0) % {PARTS} AS run, count(*) AS rows, count(*) FILTER (event_type = 'error') AS errors, 'finished' AS phase FROM events GROUP BY 1""")
 def streamed_progress(d):
+    """Each arrival is a run; its batches leave their counts in a table that outlives the run."""
     place = _place(d, "progress")
-    run = live.publish(event_stream(d, place).select("event_id"), live.batch_table(place + "/out"), checkpoint=place + "/checkpoint")
-    run.awaitTermination()
-    return live.progress_rows(d.spark, run).select("batch", "rows", "phase")
+    for part in range(PARTS):
+        arrive(d.events, "event_id", place, part)
+        write = live.recorded(live.batch_table(place + "/out"), place + "/progress", run=f"arrival {part}", failed=F.col("event_type") == "error")
+        live.publish(arrived(d, d.events, place).select("event_id", "event_type"), write, checkpoint=place + "/checkpoint").awaitTermination()
+    return live.run_totals(d.spark.read.parquet(place + "/progress")).select("run", "rows", "errors", "phase")
