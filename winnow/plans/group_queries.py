@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import bands
 from ..functions.vectors import normalize
-from ..operators import blocking, groups, leaders, retrieval, scenes
+from ..operators import blocking, groups, leaders, retrieval, scenes, sweep
 from ..operators.ranking import gap_sessions
 from .registry import query
 
@@ -87,7 +87,7 @@ def time_neighbours(d):
 @query("close_candidates", "J4 C6 C7", f"""
 SELECT DISTINCT a.photo_id FROM signs a JOIN signs b ON a.photo_id <> b.photo_id AND abs(a.taken_s - b.taken_s) <= 7200 AND {DIST} <= 20""", ["signs"])
 def close_candidates(d):
-    return blocking.close_candidates(
+    return sweep.close_candidates(
         d.signs, id="photo_id", hash="phash", time="taken_s", aspect="aspect", max_distance=20, gap=7200
     )
 
