@@ -1,26 +1,28 @@
 """Scene partition: time-and-appearance sessions against a scene's first row.
 
 A scene depends on its anchor, so rows must be folded in order. The order is
-(project, time, id), cut by range into chunks of bounded size whatever the keys
-look like: a project with a third of all rows is simply many chunks. Chunks are
-folded in parallel; the state at each chunk's start is corrected in rounds from
-its left neighbour until no chunk's outgoing state changes, which gives the
-sequential answer exactly.
+(project, time, id), cut by range into chunks whatever the keys look like: a
+project with a third of all rows is simply many chunks. A task reads its chunk
+as sorted Arrow batches and holds one batch and the state of the open scene. The
+state at each chunk's start is corrected in rounds from its left neighbour until
+no chunk's outgoing state changes, which gives the sequential answer exactly.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import all_finite
-from ..session import broadcast_if_small, cut, require_empty
+from ..session import cut, require_empty
 
-CHUNK_ROWS = 100_000
+#: Rows of a chunk at most; a task streams its chunk, so this bounds the chunks that the driver keeps a state of.
+CHUNK_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -106,143 +108,122 @@ def correct_scenes(overrides: DataFrame, requested: DataFrame, entities: DataFra
 
 
 def _fold(timed: DataFrame, limits: SceneLimits, chunk_rows: int) -> DataFrame:
-    chunks = max(1, -(-timed.count() // chunk_rows))
-    usable = (
-        F.col("h").isNotNull() & (F.size("s") == limits.structure_size) & all_finite("s")
-    )
-    usable = F.coalesce(usable, F.lit(False))
+    usable = F.coalesce(F.col("h").isNotNull() & (F.size("s") == limits.structure_size) & all_finite("s"), F.lit(False))
     laid = timed.select(
-        "project",
-        "id",
-        "t",
-        usable.alias("ok"),
-        F.coalesce("h", F.lit(0)).alias("h"),
-        F.when(usable, F.col("s")).otherwise(F.array().cast("array<float>")).alias("s"),
-    )
-    if chunks > 1:
-        laid = laid.repartitionByRange(chunks, "project", "t", "id")
-    laid = cut(laid.withColumn("chunk", F.spark_partition_id() if chunks > 1 else F.lit(0)))
+        "project", "id", "t", usable.alias("ok"), F.coalesce("h", F.lit(0)).alias("h"),
+        F.when(usable, F.col("s")).otherwise(F.array().cast("array<float>")).cast("array<float>").alias("s"),
+    )
+    chunks = max(int(timed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-timed.count() // chunk_rows))
+    laid = cut(laid.repartitionByRange(chunks, "project", "t", "id").withColumn("chunk", F.spark_partition_id()))
     kind = laid.schema["project"].dataType.simpleString()
-    out_schema = f"project {kind}, id long, anchor_id long"
     state_schema = f"chunk int, project {kind}, anchor_id long, anchor_t long, last_t long, ok boolean, h long, s array<float>"
-    fold_state, fold_rows = _state_folder(limits), _row_folder(limits)
-    if chunks == 1:
-        return laid.groupBy("chunk").applyInPandas(lambda pdf: fold_rows(pdf, None), out_schema)
-    states = cut(laid.groupBy("chunk").applyInPandas(lambda pdf: fold_state(pdf, None), state_schema))
-    # Ranges may be empty, so a chunk's left neighbour is the previous non-empty one.
-    # One narrow row per chunk is ordered here, never the data.
-    links = cut(states.select("chunk", F.lag("chunk").over(Window.orderBy("chunk")).alias("left")))
-    active = links.filter(F.col("left").isNotNull()).select("chunk")
-
-    def incoming(now: DataFrame) -> DataFrame:
-        left = now.select(F.col("chunk").alias("left"), *[c for c in now.columns if c != "chunk"])
-        return links.join(left, "left").drop("left")
-
-    while True:
-        again = laid.join(broadcast_if_small(active), "chunk", "left_semi")
-        feed = incoming(states).join(broadcast_if_small(active), "chunk", "left_semi")
-        moved = cut(
-            again.groupBy("chunk")
-            .cogroup(feed.groupBy("chunk"))
-            .applyInPandas(lambda pdf, st: fold_state(pdf, st), state_schema)
-        )
-        prior = states.select("chunk", F.col("anchor_id").alias("prior"))
-        changed = cut(
-            moved.select("chunk", "anchor_id")
-            .join(prior, "chunk")
-            .filter(F.col("anchor_id") != F.col("prior"))
-            .select(F.col("chunk").alias("left"))
-        )
-        states = cut(states.join(active, "chunk", "left_anti").unionByName(moved))
-        if changed.isEmpty():
-            break
-        active = links.join(changed, "left").select("chunk")
-    return (
-        laid.groupBy("chunk")
-        .cogroup(incoming(states).groupBy("chunk"))
-        .applyInPandas(lambda pdf, st: fold_rows(pdf, st), out_schema)
-    )
 
-
-def _walk(pdf: pd.DataFrame, state, limits: SceneLimits):
-    """Rows in order and each one's anchor position, -1 for the incoming scene."""
-    pdf = pdf.sort_values(["project", "t", "id"], kind="stable").reset_index(drop=True)
-    n, size = len(pdf), limits.structure_size
-    t = pdf["t"].to_numpy(np.int64)
-    h = pdf["h"].to_numpy(np.int64).view(np.uint64)
-    good = pdf["ok"].to_numpy(bool)
-    s = np.zeros((n, size), dtype=np.float32)
-    if good.any():
-        s[good] = np.stack(pdf["s"].to_numpy()[good])
-    project = pdf["project"].to_numpy()
-    # Hard breaks need no anchor: a new project or a long pause.
-    hard = np.ones(n, dtype=bool)
-    hard[1:] = (project[1:] != project[:-1]) | (np.diff(t) > limits.gap)
-    stops = np.append(np.flatnonzero(hard), n)
-
-    def reach(start, stop, at, ah, a_s, ok):
-        """First position in start..stop that cannot join the anchor."""
-        if not ok:
+    def folded(rows: DataFrame, states: dict[int, dict], *, members: bool) -> DataFrame:
+        ordered = rows.repartitionById(chunks, "chunk").sortWithinPartitions("chunk", "project", "t", "id")
+        schema = f"project {kind}, id long, anchor_id long" if members else state_schema
+        return ordered.mapInArrow(_folder(limits, states, members), schema)
+
+    def handed(states: list[dict]) -> dict[int, dict]:
+        """Each chunk's state at its left edge: that of the last chunk before it that has rows. One narrow row for each chunk."""
+        order = sorted(states, key=lambda r: r["chunk"])
+        return {b["chunk"]: a for a, b in zip(order, order[1:], strict=False)}
+
+    states = {r["chunk"]: r.asDict() for r in folded(laid, {}, members=False).collect()}
+    active = set(handed(list(states.values())))
+    while active:
+        left = handed(list(states.values()))
+        again = laid.where(F.col("chunk").isin(sorted(active)))
+        moved = {r["chunk"]: r.asDict() for r in folded(again, {c: left[c] for c in active}, members=False).collect()}
+        changed = {c for c, r in moved.items() if r["anchor_id"] != states[c]["anchor_id"]}
+        states |= moved
+        active = {b for b, a in handed(list(states.values())).items() if a["chunk"] in changed}
+    return folded(laid, handed(list(states.values())), members=True)
+
+
+class SceneFold:
+    """Folds rows of (project, time, id) order, batch by batch; ``state`` is the open scene after the last row."""
+
+    def __init__(self, limits: SceneLimits, state: dict | None = None):
+        self.limits, self.state = limits, state
+
+    def add(self, project: np.ndarray, ids: np.ndarray, t: np.ndarray, h: np.ndarray, good: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """Anchor id of each row of a batch."""
+        limits, n = self.limits, len(ids)
+        bits = h.view(np.uint64)
+        hard = np.ones(n, dtype=bool)
+        hard[1:] = (project[1:] != project[:-1]) | (np.diff(t) > limits.gap)
+        stops = np.append(np.flatnonzero(hard), n)
+
+        def reach(start: int, stop: int, at: int, ah: np.uint64, a_s: np.ndarray, ok: bool) -> int:
+            """First position in start..stop that cannot join the anchor."""
+            step = 64
+            while ok and start < stop:
+                end = min(stop, start + step)
+                diff = (s[start:end] - a_s).astype(np.float64)
+                joins = good[start:end] & (t[start:end] - at <= limits.span) & (np.bitwise_count(bits[start:end] ^ ah) <= limits.max_distance)
+                joins &= (diff * diff).sum(axis=1) / limits.structure_size < limits.max_structure
+                if not joins.all():
+                    return start + int(joins.argmin())
+                start, step = end, step * 2
             return start
-        i, step = start, 64
-        while i < stop:
-            j = min(stop, i + step)
-            diff = (s[i:j] - a_s).astype(np.float64)
-            joins = (
-                good[i:j]
-                & (t[i:j] - at <= limits.span)
-                & (np.bitwise_count(h[i:j] ^ ah) <= limits.max_distance)
-                & ((diff * diff).sum(axis=1) / size < limits.max_structure)
-            )
-            if not joins.all():
-                return i + int(joins.argmin())
-            i, step = j, step * 2
-        return stop
-
-    anchor = np.empty(n, dtype=np.int64)
-    i = 0
-    if state is not None and len(state) and n:
-        row = state.iloc[0]
-        if row["project"] == project[0] and t[0] - int(row["last_t"]) <= limits.gap:
-            a_s = np.asarray(row["s"], dtype=np.float32) if row["ok"] else np.zeros(size, np.float32)
-            ah = np.array([row["h"]], dtype=np.int64).view(np.uint64)[0]
-            stop = int(stops[np.searchsorted(stops, 1)])
-            i = reach(0, stop, int(row["anchor_t"]), ah, a_s, bool(row["ok"]))
-            anchor[:i] = -1
-    while i < n:
-        stop = int(stops[np.searchsorted(stops, i + 1)])
-        j = max(i + 1, reach(i + 1, stop, t[i], h[i], s[i], bool(good[i])))
-        anchor[i:j] = i
-        i = j
-    return pdf, anchor
-
-
-def _row_folder(limits: SceneLimits):
-    def fold(pdf: pd.DataFrame, state) -> pd.DataFrame:
-        pdf, anchor = _walk(pdf, state, limits)
-        ids = pdf["id"].to_numpy(np.int64)
-        lead = ids[np.maximum(anchor, 0)]
-        if (anchor < 0).any():
-            lead[anchor < 0] = int(state.iloc[0]["anchor_id"])
-        return pd.DataFrame({"project": pdf["project"], "id": ids, "anchor_id": lead})
-
-    return fold
-
-
-def _state_folder(limits: SceneLimits):
-    def fold(pdf: pd.DataFrame, state) -> pd.DataFrame:
-        chunk = int(pdf["chunk"].iat[0])
-        pdf, anchor = _walk(pdf, state, limits)
-        last_t, at = int(pdf["t"].iat[-1]), int(anchor[-1])
-        if at < 0:
-            r = state.iloc[0]
-            key = (r["project"], int(r["anchor_id"]), int(r["anchor_t"]))
-        else:
-            r = pdf.iloc[at]
-            key = (r["project"], int(r["id"]), int(r["t"]))
-        return pd.DataFrame(
-            [(chunk, *key, last_t, bool(r["ok"]), int(r["h"]), r["s"])],
-            columns=["chunk", "project", "anchor_id", "anchor_t", "last_t", "ok", "h", "s"],
-        )
 
-    return fold
+        anchors, i, open_ = np.empty(n, dtype=np.int64), 0, self.state
+        if open_ is not None and open_["project"] == project[0] and t[0] - open_["last_t"] <= limits.gap:
+            a_s = np.asarray(open_["s"], np.float32) if open_["ok"] else np.zeros(limits.structure_size, np.float32)
+            i = reach(0, int(stops[np.searchsorted(stops, 1)]), open_["anchor_t"], np.int64(open_["h"]).view(np.uint64), a_s, open_["ok"])
+            anchors[:i] = open_["anchor_id"]
+        last = None
+        while i < n:
+            stop = int(stops[np.searchsorted(stops, i + 1)])
+            j = max(i + 1, reach(i + 1, stop, t[i], bits[i], s[i], bool(good[i])))
+            anchors[i:j], last, i = ids[i], i, j
+        if last is not None:
+            whole = bool(good[last])
+            open_ = {"project": project[last], "anchor_id": int(ids[last]), "anchor_t": int(t[last]), "ok": whole, "h": int(h[last]), "s": s[last].tolist() if whole else []}
+        self.state = open_ | {"last_t": int(t[-1])}
+        return anchors
+
+
+def arrays_of(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, ...]:
+    """project, id, t, h, ok and the structures of an Arrow batch, zeros where a row has none."""
+    good = np.asarray(batch.column("ok").to_pylist(), dtype=bool)
+    s = np.zeros((batch.num_rows, size), dtype=np.float32)
+    if good.any():
+        # Rows that are not ok have empty structures, so the values are those of the others in order.
+        s[good] = batch.column("s").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+    project = np.array(batch.column("project").to_pylist(), dtype=object)
+    return project, *(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("id", "t", "h")), good, s
+
+
+def _folder(limits: SceneLimits, states: dict[int, dict], members: bool):
+    """One pass over the sorted batches of a partition: the rows with their anchors, or each chunk's last state."""
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, fold = None, None
+
+        def state_row() -> pa.RecordBatch:
+            row = {"chunk": chunk} | fold.state
+            names = ["chunk", "project", "anchor_id", "anchor_t", "last_t", "ok", "h", "s"]
+            kinds = [pa.int32(), kind, pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.float32())]
+            return pa.RecordBatch.from_arrays([pa.array([row[c]], k) for c, k in zip(names, kinds, strict=True)], names)
+
+        for batch in batches:
+            kind = batch.schema.field("project").type
+            at = batch.column("chunk").to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), batch.num_rows]
+            for start, end in zip(edges, edges[1:], strict=False):
+                if start == end:
+                    continue
+                if at[start] != chunk:
+                    if fold is not None and not members:
+                        yield state_row()
+                    chunk = int(at[start])
+                    fold = SceneFold(limits, states.get(chunk))
+                part = batch.slice(start, end - start)
+                anchors = fold.add(*arrays_of(part, limits.structure_size))
+                if members:
+                    yield pa.RecordBatch.from_arrays([part.column("project"), part.column("id").cast(pa.int64()), pa.array(anchors)], ["project", "id", "anchor_id"])
+        if fold is not None and not members:
+            yield state_row()
+
+    return rows_of

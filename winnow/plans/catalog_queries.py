@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.identity import media_format, safe_relative, variant_key
-from ..operators import audits, catalog, latest, log, ranking, sampling, snapshots, stored
+from ..operators import audits, catalog, latest, log, ranking, regroup, sampling, snapshots, stored
 from ..session import ContractViolation, shared_folder
 from ..settings import Settings
 from ..sources import annotations, decisions, manifests, payloads, sidecars
@@ -703,6 +703,25 @@ def dirty_projects(d):
     return snapshots.dirty_projects(before, snapshots.group_inputs_digest(d.snapshot_after, columns=columns))
 
 
+@query("regrouped", "J8 J9 J10", """
+SELECT project_id, concat('variant-', capture_variant_id) AS group_id, photo_id, project_id IN (SELECT project_id FROM entities WHERE photo_id % 20 < 3) AS rebuilt
+FROM entities WHERE NOT missing AND NOT quarantined""", ["entities"])
+def regrouped(d):
+    """Groups of older inputs, then a refresh: only projects with a change are built again."""
+    live = d.entities.filter(~F.col("missing") & ~F.col("quarantined")).select("project_id", "photo_id", "capture_variant_id")
+
+    def build(rows):
+        return rows.select("project_id", F.concat(F.lit("variant-"), "capture_variant_id").alias("group_id"), "photo_id")
+
+    store = regroup.StoredGroups(d.spark, f"{shared_folder(d.spark)}/winnow-groups-{uuid.uuid4().hex}", build(live).schema)
+    changed = d.entities.where("photo_id % 20 < 3").select("project_id").distinct()
+    older = live.join(changed, "project_id", "left_anti").unionByName(live.join(changed, "project_id").withColumn("capture_variant_id", F.lit("old")))
+    columns = ["photo_id", "capture_variant_id"]
+    store.refresh(older.where("project_id <> 'none'"), build, columns=columns)
+    again = store.refresh(live, build, columns=columns)
+    return store.read().join(again.withColumn("rebuilt", F.lit(True)), "project_id", "left").withColumn("rebuilt", F.coalesce("rebuilt", F.lit(False)))
+
+
 @query("user_sessions", "E3", """
 WITH p AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events),
 b AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) > 21600 THEN 1 ELSE 0 END AS brk FROM p)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,6 +11,8 @@ from ..functions.hashing import bands
 from ..functions.vectors import normalize
 from ..operators import blocking, groups, leaders, retrieval, scenes, sweep
 from ..operators.ranking import gap_sessions
+from ..session import cut, shared_folder
+from ..streaming import live, live_scenes
 from .registry import query
 
 DIST = "bit_count(xor(a.phash, b.phash))"
@@ -273,6 +276,26 @@ def scene_chunks(d):
     return out.select("project_id", "photo_id", "anchor_id")
 
 
+@query("streamed_scenes", "J5 O4", f"""
+RECURSIVE {scene_walk('SELECT * FROM timeline')} SELECT project_id, photo_id, anchor AS anchor_id FROM s""", ["timeline"])
+def streamed_scenes(d):
+    """The timeline in four arrivals, each row up to the watermark's delay too late, and a last row that ends the time line."""
+    place, delay = f"{shared_folder(d.spark)}/winnow-scenes-{uuid.uuid4().hex}", 7200
+    rows = cut(d.timeline.select("project_id", "photo_id", "taken_s", "phash", "structure").where("taken_s is not null"))
+    first, last = rows.agg(F.min("taken_s"), F.max("taken_s")).first()
+    shown = F.col("taken_s") - F.pmod(F.xxhash64("photo_id"), F.lit(delay))
+    part = F.least(F.lit(3), F.greatest(F.lit(0), F.floor((shown - F.lit(first)) * 4 / F.lit(max(1, (last or 0) - (first or 0) + 1)))))
+    end = rows.limit(1).withColumn("taken_s", F.lit((last or 0) + 10 * delay).cast(rows.schema["taken_s"].dataType)).withColumn("photo_id", F.lit(-1).cast("long"))
+    for arrival in [*(rows.where(part == i) for i in range(4)), end]:
+        arrival.write.parquet(f"{place}/in/{uuid.uuid4().hex}")
+        with live.keyed_state(d.spark):
+            stream = live.file_stream(d.spark, f"{place}/in/*", schema=rows.schema, files_per_batch=None)
+            run = live.publish(live_scenes.live_scenes(stream, limits=LIMITS, delay=delay), live.batch_table(f"{place}/out"), checkpoint=f"{place}/checkpoint")
+        run.awaitTermination()
+    out = d.spark.read.parquet(f"{place}/out").where("id <> -1")
+    return out.select(F.col("project").alias("project_id"), F.col("id").alias("photo_id"), "anchor_id")
+
+
 @query("contained_bursts", "J6 C10", f"""
 RECURSIVE {scene_walk('SELECT * FROM timeline')},
 b AS (SELECT project_id, photo_id, sum(brk) OVER (PARTITION BY project_id ORDER BY taken_s, photo_id ROWS UNBOUNDED PRECEDING) AS session_no FROM (
