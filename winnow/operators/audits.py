@@ -79,8 +79,10 @@ def count_changes(pairs: DataFrame, column: str) -> DataFrame:
     )
 
 
-def device_audit(pairs: DataFrame, *, score: str = "score", verdict: str = "verdict", count: str = "faces", vector: str | None = None, max_error: float = 0.5, min_cosine: float = 0.9999) -> DataFrame:
-    """One row: agreement of two devices on counts, scores, verdicts and vectors."""
+def device_audit(pairs: DataFrame, *, score: str = "score", verdict: str = "verdict", count: str = "faces", vector: str | None = None, by: Sequence[str] = (), max_error: float = 0.5, min_cosine: float = 0.9999) -> DataFrame:
+    """Agreement of two devices on counts, scores, verdicts and, with ``vector``, unit vectors: one row for each ``by``.
+
+    Without a pair of vectors the vector gate fails, as nothing was compared."""
     error = F.max(F.abs(F.col(f"after_{score}") - F.col(f"before_{score}")))
     aggs = [
         F.coalesce(F.bool_and(F.col(f"after_{count}") == F.col(f"before_{count}")), F.lit(False)).alias("counts_equal"),
@@ -89,7 +91,7 @@ def device_audit(pairs: DataFrame, *, score: str = "score", verdict: str = "verd
     ]
     if vector:
         aggs.append(F.min(dot(f"before_{vector}", f"after_{vector}")).alias("min_cosine"))
-    out = pairs.agg(*aggs)
+    out = pairs.groupBy(*by).agg(*aggs)
     ok = F.col("counts_equal") & (F.col("max_score_error") < max_error) & (F.col("verdict_changes") == 0)
     if vector:
         ok = ok & (F.col("min_cosine") > min_cosine)
@@ -170,6 +172,20 @@ def phase_report(runs: DataFrame, *, run: str = "run_id") -> DataFrame:
     )
 
 
+def targets_passed(report: DataFrame, budgets: dict[str, tuple[str, float]], *, sampled: str | None = None) -> DataFrame:
+    """``report`` with one boolean for each target, ``name: (column, budget)``, and ``all_targets_passed``.
+
+    A target whose column is missing in a row was not measured, so it does not pass; ``sampled`` counts measurements that must not be none.
+    """
+    checks = {name: F.coalesce(F.col(column) <= F.lit(float(budget)), F.lit(False)) for name, (column, budget) in budgets.items()}
+    if sampled:
+        checks["sampling"] = F.coalesce(F.col(sampled) > 0, F.lit(False))
+    every = F.lit(True)
+    for name in checks:
+        every = every & F.col(name)
+    return report.withColumns(checks).withColumn("all_targets_passed", every)
+
+
 def pipeline_passed(runs: DataFrame, *, expected: int) -> DataFrame:
     """One row: did scan, analysis and the repeat reach every row without errors?
 

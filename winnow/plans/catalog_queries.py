@@ -277,6 +277,20 @@ def decision_import_check(d):
     return decisions.check_decisions(decision_file(d), d.entities)[1]
 
 
+@query("decision_csv", "A12 A13", f"""
+WITH {STATE} SELECT path, decision AS action, 'accepted' AS outcome FROM state WHERE path IN (SELECT path FROM entities GROUP BY path HAVING count(*) = 1)
+UNION ALL SELECT path, NULL, 'duplicate_path' FROM entities GROUP BY path HAVING count(*) > 1""", STATE_VIEWS)
+def decision_csv(d):
+    """Export to a CSV file, and its import: what comes back are the requests, and paths that two rows share are refused."""
+    place = f"{shared_folder(d.spark)}/winnow-decisions-{uuid.uuid4().hex}"
+    state = entity_state(d)
+    decisions.write_decisions(state, place)
+    requests, bad = decisions.check_decisions(decisions.read_decision_file(d.spark, place), d.entities)
+    named = requests.join(d.entities.select("project_id", "photo_id", "path"), ["project_id", "photo_id"])
+    good = named.join(bad.select("path"), "path", "left_anti").select("path", "action", F.lit("accepted").alias("outcome"))
+    return good.unionByName(bad.select("path", F.lit(None).cast("string").alias("action"), F.col("reason").alias("outcome")))
+
+
 @query("export_scope", "A14", f"""
 WITH {STATE} SELECT project_id, photo_id, path FROM state WHERE decision = 'keep' AND NOT missing AND NOT quarantined""", STATE_VIEWS)
 def export_scope(d):

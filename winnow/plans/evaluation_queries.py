@@ -241,6 +241,24 @@ def device_audit(d):
     return audits.device_audit(pairs, count="n_faces")
 
 
+@query("device_verdicts", "N12", """
+WITH p AS (SELECT vec_id % 4 AS device, list_dot_product(embedding::DOUBLE[], list_transform(embedding, lambda x: CAST(x * CASE WHEN vec_id % 4 = 1 THEN 0.99e0 ELSE 1e0 END AS FLOAT))::DOUBLE[]) AS c,
+   CASE WHEN vec_id % 4 = 2 THEN 0.625e0 ELSE 0.25e0 END AS e, vec_id % 60 = 3 AS changed FROM embeddings)
+SELECT device, true AS counts_equal, max(e) AS max_score_error, count(*) FILTER (changed) AS verdict_changes, round(min(c), 5) AS min_cosine,
+   max(e) < 0.5 AND count(*) FILTER (changed) = 0 AND min(c) > 0.9999 AS passed FROM p GROUP BY 1""")
+def device_verdicts(d):
+    """Four devices against one: one agrees, the others differ in vectors, scores and verdicts."""
+    device = F.col("vec_id") % 4
+    factor = F.when(device == 1, 0.99).otherwise(1.0)
+    pairs = d.embeddings.select(
+        device.alias("device"), (F.col("vec_id") % 101).cast("double").alias("before_score"), F.lit("keep").alias("before_verdict"), F.lit(2).alias("before_faces"),
+        F.col("embedding").alias("before_vector"), (F.col("vec_id") % 101 + F.when(device == 2, 0.625).otherwise(0.25)).alias("after_score"),
+        F.when(F.col("vec_id") % 60 == 3, "review").otherwise("keep").alias("after_verdict"), F.lit(2).alias("after_faces"),
+        F.transform("embedding", lambda x: (x * factor).cast("float")).alias("after_vector"),
+    )
+    return audits.device_audit(pairs, vector="vector", by=["device"]).withColumn("min_cosine", F.round("min_cosine", 5))
+
+
 @query("vector_audit", "N12 H3", """
 SELECT round(min(list_dot_product(embedding::DOUBLE[], list_transform(embedding, lambda x: CAST(x * 0.5 AS FLOAT))::DOUBLE[])), 6) AS min_cosine, count(*) AS n FROM embeddings""")
 def vector_audit(d):
@@ -332,6 +350,34 @@ def corpus_statistics(d):
     return out.select("i", "j", F.round("mean_i", 5).alias("mean_i"), F.round("covariance", 6).alias("covariance"))
 
 
+@query("feature_distances", "D17", """
+WITH f AS (SELECT vec_id, embedding[2 * i + 1]::DOUBLE AS x, embedding[2 * i + 2]::DOUBLE AS y FROM (SELECT vec_id, embedding, unnest(range(32)) AS i FROM embeddings)),
+c AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS vx, covar_samp(x, y) AS vxy, var_samp(y) AS vy FROM f),
+r AS (SELECT vec_id, avg(x) - any_value(mx) AS dx, avg(y) - any_value(my) AS dy, (var_samp(x) + any_value(vx)) / 2 AS a, (covar_samp(x, y) + any_value(vxy)) / 2 AS b, (var_samp(y) + any_value(vy)) / 2 AS e FROM f, c GROUP BY 1)
+SELECT vec_id, round(sqrt(greatest(0, (e * dx * dx - 2 * b * dx * dy + a * dy * dy) / (a * e - b * b))), 4) AS distance FROM r""")
+def feature_distances(d):
+    """Each vector as 32 blocks of two features, against the mean and covariance of all blocks."""
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.array(*[F.get("embedding", i * 2 + j).cast("double") for j in range(2)]))
+    rows = d.embeddings.select("vec_id", pairs.alias("blocks"))
+    mean, cov = corpus.fit(rows.select(F.explode("blocks").alias("block")), vector="block", size=2)
+    return corpus.distances(rows, mean, cov, id="vec_id", blocks="blocks").withColumn("distance", F.round("distance", 4))
+
+
+@query("phase_targets", "D14", """
+WITH r AS (SELECT user_id AS run_id, sum(value) FILTER (event_type IN ('view', 'click')) AS first_seconds, sum(value) FILTER (event_type NOT IN ('view', 'click')) AS incremental_seconds,
+   max(event_id % 1000) AS peak_mib, count(*) FILTER (event_id % 3 = 0) AS samples FROM events GROUP BY 1),
+t AS (SELECT run_id, coalesce(first_seconds <= 400, false) AS first_time, coalesce(incremental_seconds <= 350, false) AS cache_time, coalesce(peak_mib <= 990, false) AS memory, samples > 0 AS sampling FROM r)
+SELECT *, first_time AND cache_time AND memory AND sampling AS all_targets_passed FROM t""")
+def phase_targets(d):
+    t = F.col("event_type")
+    phase = F.when(t == "view", "first_scan").when(t == "click", "first_analysis").when(t == "purchase", "incremental_scan").otherwise("cached_analysis")
+    runs = d.events.select(F.col("user_id").alias("run_id"), phase.alias("phase"), F.col("value").alias("seconds"), F.lit(1000).alias("count"))
+    memory = d.events.groupBy(F.col("user_id").alias("run_id")).agg(F.max(F.col("event_id") % 1000).alias("peak_mib"), F.count_if(F.col("event_id") % 3 == 0).alias("samples"))
+    report = audits.phase_report(runs).join(memory, "run_id")
+    budgets = {"first_time": ("first_seconds", 400), "cache_time": ("incremental_seconds", 350), "memory": ("peak_mib", 990)}
+    return audits.targets_passed(report, budgets, sampled="samples").select("run_id", *budgets, "sampling", "all_targets_passed")
+
+
 @query("capture_times", "H17", """
 SELECT doc_id, CASE n_chars % 5 WHEN 0 THEN 1767268800 + n_chars WHEN 1 THEN 1767268800 + n_chars WHEN 2 THEN 1767268800 + n_chars WHEN 3 THEN 1767268800 + n_chars - 7200 END AS seconds FROM documents""")
 def capture_times(d):

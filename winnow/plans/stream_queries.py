@@ -7,7 +7,7 @@ import uuid
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from ..operators import snapshots
+from ..operators import audits, snapshots
 from ..session import shared_folder
 from ..streaming import live
 from .registry import query
@@ -100,6 +100,30 @@ def streamed_retry(d):
     return first.unionByName(d.spark.read.parquet(place + "/again").select(*columns, F.lit("retried").alias("run")))
 
 
+@query("pipeline_runs", "N13", """
+SELECT 'readable' AS input, count(*) AS scanned, count(*) AS analyzed, count(*) AS reused, 0 AS errors, true AS passed FROM documents WHERE n_chars % 10 <> 0
+UNION ALL SELECT 'everything', count(*), count(*) FILTER (n_chars % 10 <> 0), count(*) FILTER (n_chars % 10 <> 0), count(*) FILTER (n_chars % 10 = 0), false FROM documents""")
+def pipeline_runs(d):
+    """Scan, analysis and repeat of two inputs, counted from what the runs left: one passes, one has rows that fail."""
+    reports = []
+    for name, rows in (("readable", d.documents.where("n_chars % 10 <> 0")), ("everything", d.documents)):
+        place = _place(d, "pipeline")
+        for part in range(PARTS):
+            arrive(rows, "doc_id", place, part)
+            sinks = live.two_sinks(live.batch_table(place + "/out"), live.batch_table(place + "/dead"))
+            write = live.recorded(sinks, place + "/progress", run=name, failed=F.col("error").isNotNull())
+            live.publish(ingested(arrived(d, d.documents, place)), write, checkpoint=place + "/checkpoint").awaitTermination()
+        totals = live.run_totals(d.spark.read.parquet(place + "/progress"))
+        done = d.spark.read.parquet(place + "/out")
+        # A repeat analyses only what has no stored result with the same digest.
+        again = ingested(rows).join(done.select("doc_id", F.col("sha256").alias("held")).distinct(), "doc_id")
+        counts = totals.join(done.agg(F.count("*").alias("analyzed"))).join(again.agg(F.count_if(F.col("sha256") == F.col("held")).alias("reused")))
+        runs = counts.select(F.when(F.col("phase") == "finished", "completed").otherwise("failed").alias("state"), "errors", F.col("rows").alias("scanned"), "analyzed", "reused", F.lit(0).alias("seq"))
+        passed = audits.pipeline_passed(runs, expected=rows.count())
+        reports.append(runs.join(passed).select(F.lit(name).alias("input"), "scanned", "analyzed", "reused", "errors", "passed"))
+    return reports[0].unionByName(reports[1])
+
+
 def requested(d, request, place: str, parts):
     """Arrivals of requests through the keyed first-seen state, each a run of its own that starts from the checkpoint of the last."""
     for part in parts:

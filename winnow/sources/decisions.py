@@ -16,13 +16,13 @@ def decision_rows(entities: DataFrame) -> DataFrame:
 
 
 def write_decisions(entities: DataFrame, destination: str) -> None:
-    """CSV with a header; an existing destination is an error."""
-    decision_rows(entities).write.csv(destination, header=True, mode="error")
+    """CSV with a header; an existing destination is an error. Quotes are doubled, as spreadsheets write and read them."""
+    decision_rows(entities).write.csv(destination, header=True, mode="error", escape='"')
 
 
-def read_decision_file(spark: SparkSession, source: str) -> DataFrame:
-    """Columns are found by header name; a file without them is refused."""
-    frame = spark.read.csv(source, header=True, inferSchema=False)
+def read_decision_file(spark: SparkSession, source: str, *, multi_line: bool = False) -> DataFrame:
+    """Columns are found by header name; a file without them is refused. ``multi_line`` reads paths with line ends, a file in one task."""
+    frame = spark.read.csv(source, header=True, inferSchema=False, escape='"', multiLine=multi_line)
     missing = {"path", "action"} - set(frame.columns)
     if missing:
         raise ValueError(f"decision file lacks columns: {sorted(missing)}")
