@@ -10,7 +10,7 @@ from ..functions.identity import media_format, safe_relative, variant_key
 from ..operators import audits, catalog, latest, log, ranking, regroup, sampling, snapshots, stored
 from ..session import ContractViolation, shared_folder
 from ..settings import Settings
-from ..sources import annotations, decisions, manifests, payloads, sidecars
+from ..sources import annotations, decisions, files, manifests, payloads, sidecars
 from .registry import query
 from .views import VERSION
 
@@ -100,7 +100,13 @@ DIFF = """
 """
 
 
-@query("media_formats", "A2 A1", """
+@query("listed_files", "A1")
+def listed_files(d):
+    """Files of the folder of the given tables; SQL has no listing, so a test compares it with a walk."""
+    return files.classify_files(files.list_files(d.spark, d.folder)).select("path", "size_bytes", "filename", "safe")
+
+
+@query("media_formats", "A2", """
 SELECT CASE WHEN ext IN ('jpg','jpeg') THEN 'jpeg' WHEN ext = 'png' THEN 'png' WHEN ext = 'webp' THEN 'webp'
             WHEN ext IN ('heic','heif') THEN 'heic'
             WHEN ext IN ('dng','cr2','cr3','nef','nrw','arw','srw','orf','rw2','pef','raf','rwl','raw') THEN 'raw' ELSE 'skipped' END AS format,
