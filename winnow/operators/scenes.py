@@ -22,7 +22,7 @@ from ..functions.vectors import all_finite
 from ..session import cut, require_empty
 
 #: Rows of a chunk at most; a task streams its chunk, so this bounds the chunks that the driver keeps a state of.
-CHUNK_ROWS = 1_000_000
+CHUNK_ROWS = 250_000
 
 
 @dataclass(frozen=True)
@@ -113,7 +113,7 @@ def _fold(timed: DataFrame, limits: SceneLimits, chunk_rows: int) -> DataFrame:
         "project", "id", "t", usable.alias("ok"), F.coalesce("h", F.lit(0)).alias("h"),
         F.when(usable, F.col("s")).otherwise(F.array().cast("array<float>")).cast("array<float>").alias("s"),
     )
-    chunks = max(int(timed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-timed.count() // chunk_rows))
+    chunks = max(1, -(-timed.count() // chunk_rows))
     laid = cut(laid.repartitionByRange(chunks, "project", "t", "id").withColumn("chunk", F.spark_partition_id()))
     kind = laid.schema["project"].dataType.simpleString()
     state_schema = f"chunk int, project {kind}, anchor_id long, anchor_t long, last_t long, ok boolean, h long, s array<float>"
@@ -128,7 +128,8 @@ def _fold(timed: DataFrame, limits: SceneLimits, chunk_rows: int) -> DataFrame:
         order = sorted(states, key=lambda r: r["chunk"])
         return {b["chunk"]: a for a, b in zip(order, order[1:], strict=False)}
 
-    states = {r["chunk"]: r.asDict() for r in folded(laid, {}, members=False).collect()}
+    # A chunk without a left neighbour starts without a state.
+    states = {r["chunk"]: r.asDict() for r in folded(laid, {}, members=False).collect()} if chunks > 1 else {}
     active = set(handed(list(states.values())))
     while active:
         left = handed(list(states.values()))
