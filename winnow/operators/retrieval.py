@@ -124,12 +124,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int, dimensions: int, id
     parts = []
     for block in range(blocks):
         mine = ready.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block) if blocks > 1 else ready
-        parts.append(
-            rows.mapInPandas(
-                _scan(mine.toPandas(), k, exclude_self, rows.sparkSession),
-                f"q {q_type}, id {id_type}, similarity double",
-            )
-        )
+        context = rows.sparkSession.sparkContext
+        shared = context.broadcast(_matrix(mine.toPandas()))
+        part = rows.mapInPandas(_scan(shared, k, exclude_self), f"q {q_type}, id {id_type}, similarity double")
+        if blocks > 1:
+            # Written before the next block is fetched, so that the driver and the tasks hold one block at a time.
+            part = cut(first_n(part, key=["q"], order=[F.col("similarity").desc(), F.col("id").asc()], n=k))
+            shared.destroy()
+        parts.append(part)
     partial = reduce(DataFrame.unionByName, parts)
     order = [F.col("similarity").desc(), F.col("id").asc()]
     return first_n(partial, key=["q"], order=order, n=k, name="rank").select(
@@ -152,10 +154,13 @@ def _first_k(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return sims[order], ids[order]
 
 
-def _scan(block: pd.DataFrame, k: int, exclude_self: bool, spark):
+def _matrix(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray | None]:
+    """Names and unit vectors of a block of queries."""
+    return block["q"].to_numpy(), np.stack(block["v"].to_numpy()).astype(np.float64) if len(block) else None
+
+
+def _scan(shared, k: int, exclude_self: bool):
     """Task body: running k best per query over the vectors of one partition."""
-    matrix = np.stack(block["v"].to_numpy()).astype(np.float64) if len(block) else None
-    shared = spark.sparkContext.broadcast((block["q"].to_numpy(), matrix))
 
     def best(batches):
         names, q = shared.value

@@ -66,13 +66,12 @@ def new_store(d, name: str) -> stored.StoredCatalog:
 
 def stored_catalog(d) -> stored.StoredCatalog:
     """The stored catalog over a folder's tables: written by the first page of an application, refreshed by changed keys when a table was replaced."""
-    paths = d.spark._jvm.org.apache.hadoop.fs.Path
+    paths, conf = d.spark._jvm.org.apache.hadoop.fs.Path, d.spark._jsc.hadoopConfiguration()
     places = [paths(f"{d.folder}/{t}.parquet") for t in ("documents", "events")]
-    files = places[0].getFileSystem(d.spark._jsc.hadoopConfiguration())
-    written = tuple(files.getFileStatus(p).getModificationTime() for p in places)
+    written = tuple(p.getFileSystem(conf).getFileStatus(p).getModificationTime() for p in places)
     key = (d.spark.sparkContext.applicationId, d.folder)
     store, seen = _STORES.get(key, (None, None))
-    if store is None:
+    if store is None or not paths(store.place).getFileSystem(conf).exists(paths(store.place)):
         store = new_store(d, "catalog")
         store.save({"entities": d.entities, "analyses": stored.hashed_analyses(d.payloads, payloads.project_payload), "states": states(d.decision_log, d.mark_log)})
     elif seen != written:
