@@ -275,7 +275,15 @@ def linked(pairs: DataFrame, rows: DataFrame, bounds: Bounds) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     named = [rows.select(F.col("node").alias(side), F.col("row").alias(f"row_{side}")) for side in "ab"]
-    return pairs.join(named[1], "b").join(named[0], "a").select("a", "b", "row_a", "row_b").mapInArrow(decide, "a long, b long")
+    partners = named[0].join(broadcast_if_small(pairs.select("a").distinct()), "a", "left_semi")
+    return named[1].join(broadcast_if_small(pairs), "b").join(partners, "a").select("a", "b", "row_a", "row_b").mapInArrow(decide, "a long, b long")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels (node, comp)`` after the linked nodes' components have become one."""
+    ends = [labels.withColumnsRenamed({"node": s, "comp": f"c{s}"}) for s in "ab"]
+    joins = components(links.join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    return cut(labels.join(joins.withColumnsRenamed({"id": "comp"}), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")))
 
 
 @contextmanager
@@ -313,8 +321,10 @@ def _components(docs: DataFrame, width: int, bounds: Bounds) -> DataFrame:
     work = cut(nodes.join(several, "key", "left_semi"))
     labels = cut(work.select("node", F.col("node").alias("comp")).distinct())
     ids = labels.select(F.col("node").alias("doc_id"))
-    texts = docs.select("doc_id", "text").join(broadcast_if_small(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
-    rows = cut(incidence(texts, width))
+    texts = docs.select("doc_id", "text").join(broadcast_if_small(ids), "doc_id", "left_semi")
+    repeated = broadcast_if_small(cut(sizes.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")))
+    greatest = texts.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+    rows = cut(incidence(texts.join(repeated, "doc_id", "left_anti").unionByName(greatest), width))
     members = work.groupBy("key").agg(F.count("*").alias("members"))
     central = work.join(members, "key").groupBy("node").agg((-F.sum("members")).alias("turn"))
     nothing = F.lit(0).cast("long")
@@ -322,16 +332,20 @@ def _components(docs: DataFrame, width: int, bounds: Bounds) -> DataFrame:
     tested, pivots = [], 1
     while not work.isEmpty():
         walked = cut(pivot_pairs(work, pivots, bounds))
-        found = walked.select(F.explode("partners").alias("p"), "node").select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
+        votes = walked.select(F.explode("partners").alias("p"), "node").groupBy("node", "p").agg(F.count("*").alias("votes"))
+        found = votes.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b"), "node", "votes")
         for earlier in tested:
             found = found.join(earlier, ["a", "b"], "left_anti")
-        pairs = cut(found)
-        tested.append(pairs)
-        links = linked(pairs, rows, bounds)
+        found = cut(found)
+        # each row meets the partner it shares most groups with; then only pairs that still lie in two components are left
+        best = cut(found.groupBy("node").agg(F.max(F.struct("votes", "a", "b")).alias("best")).select("best.a", "best.b").distinct())
+        labels = _merged(labels, linked(best, rows, bounds))
         ends = [labels.withColumnsRenamed({"node": s, "comp": f"c{s}"}) for s in "ab"]
-        joins = components(links.join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        merged = joins.withColumnsRenamed({"id": "comp"})
-        labels = cut(labels.join(merged, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")))
+        pairs = found.select("a", "b").distinct()
+        tested.append(pairs)
+        apart = cut(pairs.join(ends[0], "a").join(ends[1], "b").where("ca <> cb").select("a", "b").join(best, ["a", "b"], "left_anti"))
+        if not apart.isEmpty():
+            labels = _merged(labels, linked(apart, rows, bounds))
         rest = _still_open(walked.where("not pivot").drop("pivot", "partners"), labels)
         if pivots == 1:
             # small groups are multiplied out as they are; rows of larger ones go over to their rarest n-grams
