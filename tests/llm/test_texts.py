@@ -271,6 +271,40 @@ def test_short_letters_only_and_digitless_strings_are_scored(spark):
     assert found[950] == "" and not any("markov" in found[i] for i in range(400))
 
 
+def test_random_strings_of_every_alphabet_are_found():
+    rng = random.Random(31)
+    words = ["".join(rng.choice(["con", "fig", "ura", "tion", "under", "stand", "ing", "respon", "sible"]) for _ in range(4)) for _ in range(500)]
+    models = secret_scan.Models([], words, drawn=secret_scan.drawn_strings())
+    for letters in secret_scan.ALPHABETS.values():
+        for length in (20, 32, 40):
+            strings = ["".join(rng.choices(letters, k=length)) for _ in range(200)]
+            assert sum(models.ratio(x) > models.threshold for x in strings) >= 190
+    usual = words + [w.upper() for w in words] + secret_scan.drawn_numbers(500, seed=32) + secret_scan.joined_words(words, seed=33)
+    assert sum(models.ratio(x) > models.threshold for x in usual) <= len(usual) // 200
+
+
+def test_added_spans_equal_a_walk_over_characters():
+    rng = random.Random(34)
+    words = ["".join(rng.choice(["con", "fig", "ura", "tion", "under"]) for _ in range(3)) for _ in range(300)]
+    models = secret_scan.Models(["0f" * 20], words, drawn=secret_scan.drawn_strings(200))
+    place = {c: i for i, c in enumerate(secret_scan._ALPHABET)}
+
+    def by_hand(token):
+        codes, n = [place[c] for c in token], len(place)
+        sums = models.logs[0][codes[0]] + models.logs[1][codes[0], codes[1]]
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            sums = sums + models.logs[2][a * n + b, c]
+        return max(sums[: models.n_random]) - max(sums[models.n_random :])
+
+    for _ in range(50):
+        parts = [rng.choice(words) if rng.random() < 0.7 else "".join(rng.choices("abcDEF0123456789+/", k=rng.randint(1, 30))) for _ in range(20)]
+        text = rng.choice([" ", " \U0001f600 ", ";"]).join(parts)
+        base = secret_scan.base_spans(text)
+        tokens = [(m.start(), m.end()) for m in secret_scan.TOKEN.finditer(text)]
+        want = [(3, a, b) for a, b in tokens if by_hand(text[a:b]) > models.threshold and not any(a < e and s < b for _, s, e in base)]
+        assert models.spans(text, base) == want
+
+
 def test_pipeline_stages_keep_columns_and_take_effect(spark, tmp_path):
     import corpus_pipeline
 

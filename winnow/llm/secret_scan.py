@@ -1,15 +1,19 @@
 """Secret scan: fixed forms first, then character Markov models of random strings and ordinary identifiers.
 
-Both models are second-order chains over a reduced alphabet (a-z, A-Z, digits, the marks of base64). They are trained on labelled samples
-from the scanned texts themselves: what the fixed forms found stands for random strings, ordinary words and identifiers for
-the other class. An unbroken token of eight and more characters that no fixed form covers becomes a span when its whole
-log-likelihood ratio passes a threshold, so a short token needs clearer characters than a long one.
+The models are second-order chains over a reduced alphabet (a-z, A-Z, digits, the marks of base64). Random strings have a chain for each
+alphabet that keys are written in, trained on drawn strings labelled as such, and one for what the fixed forms found. Ordinary
+strings have one for words of the scanned texts with drawn numbers and times, one for these words in capitals and one for identifiers
+joined from them. An unbroken token of eight and more characters that no fixed form covers becomes a span when the ratio of its whole
+likelihood by the best random chain to that by the best ordinary chain passes a threshold, so a short token needs clearer
+characters than a long one.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -72,23 +76,77 @@ def _codes(token: str) -> np.ndarray:
     return _CODE[np.frombuffer(token.encode("ascii"), np.uint8)]
 
 
+#: Alphabets of the drawn random strings.
+ALPHABETS = {
+    "base62": string.ascii_letters + string.digits,
+    "base64": string.ascii_letters + string.digits + "+/",
+    "base64url": string.ascii_letters + string.digits + "-_",
+    "letters": string.ascii_letters,
+    "lower": string.ascii_lowercase + string.digits,
+    "upper": string.ascii_uppercase + string.digits,
+    "hex": "0123456789abcdef",
+    "upper_hex": "0123456789ABCDEF",
+}
+
+
+def drawn_strings(each: int = 3000, seed: int = 7) -> dict[str, list[str]]:
+    """``each`` labelled random strings of 8 to 64 characters for each alphabet, the same for a seed."""
+    source = random.Random(seed)
+    return {name: ["".join(source.choices(letters, k=source.randint(8, 64))) for _ in range(each)] for name, letters in ALPHABETS.items()}
+
+
+def drawn_numbers(n: int = 2000, seed: int = 7) -> list[str]:
+    """``n`` labelled ordinary strings of digits: plain and grouped numbers, dates and times of day."""
+    source, found = random.Random(seed), []
+    for i in range(n):
+        digits = [f"{source.randrange(10**4):04d}" for _ in range(6)]
+        day = f"{source.randint(1900, 2099)}-{source.randint(1, 12):02d}-{source.randint(1, 28):02d}"
+        forms = "".join(digits)[: source.randint(8, 24)], "-".join(digits[: source.randint(2, 5)]), day, f"{day}T{source.randint(0, 23):02d}", day.replace("-", "/")
+        found.append(forms[i % len(forms)])
+    return found
+
+
+def joined_words(ordinary: list[str], seed: int = 7) -> list[str]:
+    """Labelled ordinary identifiers in the usual spellings, each joined from two or three drawn words of ``ordinary``."""
+    source, found = random.Random(seed), []
+    words = [w for token in ordinary for w in re.findall("[A-Za-z]{2,}", token)]
+    for i in range(len(ordinary) if words else 0):
+        parts = [w.lower() for w in source.choices(words, k=source.randint(2, 3))]
+        spelled = parts[0] + "".join(w.capitalize() for w in parts[1:]), "".join(w.capitalize() for w in parts), "_".join(parts), "_".join(parts).upper(), "-".join(parts), "/".join(parts)
+        found.append(spelled[i % len(spelled)])
+    return found
+
+
 class Models:
-    def __init__(self, random: list[str], ordinary: list[str], threshold: float = 12.0):
-        self.logs = tuple(r - o for r, o in zip(Chain(random).logs, Chain(ordinary).logs, strict=True))
-        self.threshold = threshold
-        self.trained = bool(random) and bool(ordinary)
+    """Chains of random strings, one for each list in ``drawn`` and one for ``found``, against chains of ordinary ones.
+
+    ``ordinary`` are tokens of the texts; their capitals and the identifiers joined from them have chains of their own.
+    """
+
+    def __init__(self, found: list[str], ordinary: list[str], threshold: float = 12.0, drawn: dict[str, list[str]] | None = None):
+        randoms = [strings for strings in (found, *(drawn or {}).values()) if strings]
+        usual = [ordinary + drawn_numbers(), [w.upper() for w in ordinary], joined_words(ordinary)]
+        chains = [Chain(strings).logs for strings in randoms + usual]
+        #: For each place in a token, the logarithms of every chain: the random ones first.
+        self.logs = tuple(np.stack([logs[i] for logs in chains], axis=-1) for i in range(3))
+        self.n_random, self.threshold = len(randoms), threshold
+        self.trained = bool(randoms) and bool(ordinary)
 
     def ratios(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Log-likelihood ratio of each token, of three and more characters, by its places in ``codes``."""
         n, (one, two, three) = len(_ALPHABET), self.logs
-        sums = np.concatenate((np.zeros(3), np.cumsum(three[codes[:-2] * n + codes[1:-1], codes[2:]])))
-        return one[codes[starts]] + two[codes[starts], codes[starts + 1]] + sums[ends] - sums[starts + 2]
+        lengths = ends - starts - 2
+        first = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
+        at = np.arange(lengths.sum()) - np.repeat(first - starts, lengths)
+        later = np.add.reduceat(three[codes[at] * n + codes[at + 1], codes[at + 2]], first, axis=0)
+        logs = one[codes[starts]] + two[codes[starts], codes[starts + 1]] + later
+        return logs[:, : self.n_random].max(axis=1) - logs[:, self.n_random :].max(axis=1)
 
     def ratio(self, token: str) -> float:
         return float(self.ratios(_codes(token), np.array([0]), np.array([len(token)]))[0])
 
     def spans(self, text: str, base: list[Span]) -> list[Span]:
-        """Tokens with a letter and without a character of a base span whose ratio passes the threshold."""
+        """Tokens without a character of a base span whose ratio passes the threshold."""
         if not self.trained or len(text) < SHORTEST:
             return []
         points = np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), 127)
@@ -96,10 +154,9 @@ class Models:
         starts, ends = edges[::2], edges[1::2]
         long = ends - starts >= SHORTEST
         starts, ends = starts[long], ends[long]
-        codes = _CODE[points]
-        # a token without a letter is a number: telephones, cards, amounts
-        letters = np.concatenate(([0], np.cumsum(codes < 52)))
-        passed = (self.ratios(codes, starts, ends) > self.threshold) & (letters[ends] > letters[starts])
+        if not len(starts):
+            return []
+        passed = self.ratios(_CODE[points], starts, ends) > self.threshold
         found = zip(starts[passed].tolist(), ends[passed].tolist(), strict=True)
         return [(3, start, end) for start, end in found if not any(start < e and s < end for _, s, e in base)]
 
@@ -133,8 +190,9 @@ def samples(docs: DataFrame, rows: int = 5000) -> tuple[list[str], list[str]]:
 
 
 def fit(docs: DataFrame, rows: int = 5000) -> Models:
-    """Models trained on :func:`samples`; without samples of either class they add no spans."""
-    return Models(*samples(docs, rows))
+    """Models trained on :func:`samples` and on drawn strings and numbers; without ordinary samples they add no spans."""
+    found, ordinary = samples(docs, rows)
+    return Models(found, ordinary, drawn=drawn_strings())
 
 
 def scan(docs: DataFrame, models: Models) -> DataFrame:
