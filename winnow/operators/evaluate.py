@@ -6,15 +6,18 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import iou
 from ..functions.numeric import ratio
-from ..session import cut, require_empty
+from ..session import broadcast_if_small, cut, require_empty
 from .ranking import exact_percentiles
 
 TIE_EPSILON = 1e-9
+#: Boxes of both sides up to which an image is paired without a grid.
+CROWDED = 256
 # Reasons a person may give for an ungradable label.
 UNGRADABLE_REASONS = ("occlusion", "small_face", "pose", "lighting", "blur", "other")
 
@@ -22,13 +25,36 @@ UNGRADABLE_REASONS = ("occlusion", "small_face", "pose", "lighting", "blur", "ot
 def box_edges(predicted: DataFrame, truth: DataFrame, *, image: str, box: str = "box", p: str = "pred_id", t: str = "truth_id", threshold: float = 0.5) -> DataFrame:
     """(image, pred, truth, overlap) of pairs that reach the threshold.
 
-    Boxes meet through a grid sized to each box: a pair overlapping by at least
+    An image of at most ``CROWDED`` boxes is paired as it is. The boxes of a larger
+    one meet through a grid sized to each box: a pair overlapping by at least
     the threshold has sides within a factor of each other, so its size levels
     are equal or adjacent and its centres lie in neighbouring cells. An image
     with very many boxes is therefore spread over cells, not paired in full.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
+
+    def keyed(df: DataFrame, name: str, alias: str) -> DataFrame:
+        return df.filter((F.col(f"{box}.w") > 0) & (F.col(f"{box}.h") > 0)).select(
+            image, F.col(name), F.col(box).alias(alias)
+        )
+
+    def overlapping(pairs: DataFrame) -> DataFrame:
+        return pairs.withColumn("overlap", iou("pb", "tb")).filter(F.col("overlap") >= threshold).select(image, p, t, "overlap")
+
+    a, b = keyed(predicted, p, "pb"), keyed(truth, t, "tb")
+    sizes = a.select(image).union(b.select(image)).groupBy(image).agg(F.count("*").alias("n"))
+    crowded = cut(sizes.filter(F.col(image).isNotNull() & (F.col("n") > CROWDED)).select(image))
+    if crowded.isEmpty():
+        return overlapping(a.join(b, image))
+    named = broadcast_if_small(crowded)
+    few = a.join(named, image, "left_anti").join(b, image)
+    many = _grid_pairs(a.join(named, image, "left_semi"), b.join(named, image, "left_semi"), image, threshold)
+    return overlapping(few).unionByName(overlapping(many))
+
+
+def _grid_pairs(a: DataFrame, b: DataFrame, image: str, threshold: float) -> DataFrame:
+    """Boxes ``pb`` and ``tb`` of one image that may overlap by ``threshold``, each pair once."""
     levels = int(np.ceil(-np.log2(threshold))) if threshold < 1 else 0
     # Centres of matching boxes are within this many truth sides of each other.
     far = max(1, int(np.ceil((1 / threshold - 1) / 2)))
@@ -36,11 +62,6 @@ def box_edges(predicted: DataFrame, truth: DataFrame, *, image: str, box: str =
     def level(v: Column) -> Column:
         return F.floor(F.log2(F.greatest(v, F.lit(1e-300)))).cast("long")
 
-    def keyed(df: DataFrame, name: str, alias: str) -> DataFrame:
-        return df.filter((F.col(f"{box}.w") > 0) & (F.col(f"{box}.h") > 0)).select(
-            image, F.col(name), F.col(box).alias(alias)
-        )
-
     def side(lev: str) -> Column:
         return F.pow(F.lit(2.0), F.col(lev) + 1) * far
 
@@ -50,7 +71,6 @@ def box_edges(predicted: DataFrame, truth: DataFrame, *, image: str, box: str =
     def around(centre: Column, lev: str) -> Column:
         return F.array_distinct(F.array(home(centre - side(lev), lev), home(centre + side(lev), lev)))
 
-    a, b = keyed(predicted, p, "pb"), keyed(truth, t, "tb")
     b = b.withColumn("lw", level(F.col("tb.w"))).withColumn("lh", level(F.col("tb.h")))
     b = b.withColumn("cx", home(F.col("tb.x") + F.col("tb.w") / 2, "lw")).withColumn(
         "cy", home(F.col("tb.y") + F.col("tb.h") / 2, "lh")
@@ -62,12 +82,7 @@ def box_edges(predicted: DataFrame, truth: DataFrame, *, image: str, box: str =
     a = a.withColumn("cx", F.explode(around(F.col("pb.x") + F.col("pb.w") / 2, "lw"))).withColumn(
         "cy", F.explode(around(F.col("pb.y") + F.col("pb.h") / 2, "lh"))
     )
-    return (
-        a.join(b, [image, "lw", "lh", "cx", "cy"])
-        .withColumn("overlap", iou("pb", "tb"))
-        .filter(F.col("overlap") >= threshold)
-        .select(image, p, t, "overlap")
-    )
+    return a.join(b, [image, "lw", "lh", "cx", "cy"])
 
 
 def match_boxes(predicted: DataFrame, truth: DataFrame, *, image: str, box: str = "box", p: str = "pred_id", t: str = "truth_id", threshold: float = 0.5) -> DataFrame:
@@ -86,12 +101,12 @@ def match_boxes(predicted: DataFrame, truth: DataFrame, *, image: str, box: str
     rest = cut(rest)
     if rest.isEmpty():
         return sole
-    clusters = _clusters(rest, image, p, t)
-    types = {f.name: f.dataType.simpleString() for f in edges.schema}
-    solved = clusters.groupBy(image, "cluster").applyInPandas(
-        _assign(image, p, t),
-        f"{image} {types[image]}, {p} {types[p]}, {t} {types[t]}, overlap double",
-    )
+    # A given number of tasks: the clusters are few bytes but much work, and would be put into one task.
+    spark = edges.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    clusters = _clusters(rest, image, p, t).repartition(tasks, image, "cluster")
+    listed = clusters.groupBy(image, "cluster").agg(F.collect_list(F.struct(p, t, "overlap")).alias("pairs"))
+    solved = listed.select(image, "pairs").mapInArrow(_assign(image, p, t), edges.select(image, p, t, "overlap").schema)
     return sole.unionByName(solved)
 
 
@@ -117,17 +132,22 @@ def _clusters(edges: DataFrame, image: str, p: str, t: str) -> DataFrame:
 
 
 def _assign(image: str, p: str, t: str):
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        ps, ts = sorted(pdf[p].unique()), sorted(pdf[t].unique())
-        weight = np.zeros((len(ps), len(ts)))
-        pi, ti = {v: i for i, v in enumerate(ps)}, {v: i for i, v in enumerate(ts)}
-        for a, b, v in zip(pdf[p], pdf[t], pdf["overlap"]):
-            weight[pi[a], ti[b]] = v
-        chosen = best_assignment(weight)
-        return pd.DataFrame(
-            [(pdf[image].iat[0], ps[i], ts[j], weight[i, j]) for i, j in chosen],
-            columns=[image, p, t, "overlap"],
-        )
+    def solve(batches):
+        for batch in batches:
+            images, rows = batch.column(image), []
+            for n, pairs in enumerate(batch.column("pairs").to_pylist()):
+                ps, ts = sorted({pair[p] for pair in pairs}), sorted({pair[t] for pair in pairs})
+                pi, ti = {v: i for i, v in enumerate(ps)}, {v: i for i, v in enumerate(ts)}
+                weight = np.zeros((len(ps), len(ts)))
+                for pair in pairs:
+                    weight[pi[pair[p]], ti[pair[t]]] = pair["overlap"]
+                rows += [(n, ps[i], ts[j], weight[i, j]) for i, j in best_assignment(weight)]
+            at, left, right, overlap = zip(*rows) if rows else ((), (), (), ())
+            kind = batch.schema.field("pairs").type.value_type
+            yield pa.RecordBatch.from_arrays(
+                [images.take(pa.array(at, pa.int64())), pa.array(left, kind.field(p).type), pa.array(right, kind.field(t).type), pa.array(overlap, pa.float64())],
+                names=[image, p, t, "overlap"],
+            )
 
     return solve
 
@@ -139,24 +159,25 @@ def best_assignment(weight: np.ndarray) -> list[tuple[int, int]]:
     Bellman-Ford relaxation over the small cluster.
     """
     n, m = weight.shape
+    weight = weight.tolist()
     row, col = [-1] * n, [-1] * m
     while True:
-        gain = np.full(m, -np.inf)
+        gain = [-np.inf] * m
         back = [-1] * m
         for j in range(m):
             for i in range(n):
-                if row[i] < 0 and weight[i, j] > gain[j] and weight[i, j] > 0:
-                    gain[j], back[j] = weight[i, j], i
+                if row[i] < 0 and weight[i][j] > gain[j] and weight[i][j] > 0:
+                    gain[j], back[j] = weight[i][j], i
         for _ in range(n + m):
             moved = False
             for j in range(m):
                 i = col[j]
                 if i < 0 or gain[j] == -np.inf:
                     continue
-                base = gain[j] - weight[i, j]
+                base = gain[j] - weight[i][j]
                 for k in range(m):
-                    if k != j and weight[i, k] > 0 and base + weight[i, k] > gain[k] + 1e-12:
-                        gain[k], back[k], moved = base + weight[i, k], i, True
+                    if k != j and weight[i][k] > 0 and base + weight[i][k] > gain[k] + 1e-12:
+                        gain[k], back[k], moved = base + weight[i][k], i, True
             if not moved:
                 break
         ends = [j for j in range(m) if col[j] < 0 and gain[j] > -np.inf]
