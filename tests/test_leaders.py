@@ -68,6 +68,27 @@ def test_random_graphs_from_edges(spark):
     assert {r["node"]: r["leader"] for r in got.collect()} == want
 
 
+def test_a_long_chain_is_settled_in_few_passes(spark, monkeypatch):
+    """Every row matches the one before it: a chain as long as the table, in time and in id order."""
+    written = []
+    inner = leaders.cut
+    monkeypatch.setattr(leaders, "cut", lambda df: written.append(1) or inner(df))
+    monkeypatch.setattr(leaders, "LINKS", 100)
+    n = 600
+    nodes = spark.range(n).withColumn("node", F.struct((-F.col("id").cast("double")).alias("c"), "id"))
+    links = spark.range(1, n)
+    place = lambda i: F.struct((-i.cast("double")).alias("c"), i.alias("id"))
+    for df, edges, at in (
+        (nodes.select(F.col("id").alias("node")), links.select(F.col("id").alias("node"), (F.col("id") - 1).alias("pivot")), lambda r: r.node),
+        (nodes.select("node"), links.select(place(F.col("id") - 1).alias("node"), place(F.col("id")).alias("pivot")), lambda r: n - 1 - r.node.id),
+    ):
+        written.clear()
+        got = {at(r): r.leader for r in leaders.assign_from_edges(df, edges, node="node").collect()}
+        got = {k: v if isinstance(v, int) else n - 1 - v.id for k, v in got.items()}
+        assert got == {i: i - i % 2 for i in range(n)}
+        assert len(written) < 40
+
+
 def test_bands_cover_all_bits_and_find_every_close_pair(spark):
     for d in (1, 2, 8, 16, 20):
         layout = band_layout(d)
