@@ -69,6 +69,15 @@ def test_ratio_is_kneser_ney(spark):
     assert found[bad] == pytest.approx(math.log(p_t / p_o), rel=1e-6)
 
 
+def test_expressions_beyond_the_broadcast_count_too(labelled):
+    docs, labels = labelled
+    whole, split = toxicity.fit(docs, labels), toxicity.fit(docs, labels, most=3)
+    assert len(split.keys) <= 3 < len(whole.keys) and split.rest.count() == len(whole.keys) - len(split.keys)
+    one, two = ({r.doc_id: r.score for r in toxicity.score_texts(docs, model).collect()} for model in (whole, split))
+    assert one.keys() == two.keys() and max(abs(one[i] - two[i]) for i in one) < 1e-6
+    assert sorted(map(tuple, toxicity.without_toxic(docs, whole).collect())) == sorted(map(tuple, toxicity.without_toxic(docs, split).collect()))
+
+
 def test_toxicity_takes_odd_rows(documents, nothing, spark, labelled):
     model = toxicity.fit(*labelled)
     assert toxicity.score_texts(documents, model).count() == documents.count()

@@ -7,8 +7,9 @@ log-likelihood ratio for each expression (a bigram, or a word for the bigrams th
 ratio over its distinct bigrams, put through a logistic curve. A bigram counts once for each text, and equal training texts count
 once, so that neither a word repeated over and over nor a copied text passes for evidence.
 
-Counts come from labelled texts of the training folds and are joined and aggregated by Spark. Only expressions seen at least ``least`` times
-reach the tasks; if they were more than ``most`` entries, ``least`` rises until they fit, so the broadcast model has a fixed bound.
+Counts come from labelled texts of the training folds and are joined and aggregated by Spark. Expressions seen at least ``least`` times
+are listed. The ``most`` most frequent ones at most reach the tasks as a broadcast of a fixed bound; the rest stay a table, which is joined to the
+expressions of the texts, so that every listed expression counts.
 """
 
 from __future__ import annotations
@@ -91,8 +92,8 @@ def _telling(t, o, all_t, all_o, evidence: float, contrast: float):
     return (g2 >= evidence) & (factor >= math.log(contrast))
 
 
-def expression_ratios(counts: DataFrame, least: int = 5, most: int = 500_000, evidence: float = 24.0, contrast: float = 3.0) -> DataFrame:
-    """``key, ratio``: the log-likelihood ratio of each listed word (its id) and bigram (both ids)."""
+def expression_ratios(counts: DataFrame, least: int = 5, evidence: float = 24.0, contrast: float = 3.0) -> DataFrame:
+    """``key, n, ratio``: the log-likelihood ratio of each listed word (its id) and bigram (both ids), and how many texts have it."""
     d = F.lit(DISCOUNT)
     seen = [(F.col(c) > 0).cast("long") for c in ("toxic", "ordinary")]
     words = cut(counts.groupBy("w").agg(F.sum(seen[0]).alias("after_t"), F.sum(seen[1]).alias("after_o"), F.count("*").alias("after"), F.sum("toxic").alias("n_t"), F.sum("ordinary").alias("n_o")).withColumn("n", F.col("n_t") + F.col("n_o")))
@@ -125,8 +126,14 @@ def expression_ratios(counts: DataFrame, least: int = 5, most: int = 500_000, ev
     key = F.shiftleft("v", 32).bitwiseOR(F.col("w"))
     pairs = pairs.select(key.alias("key"), "n", F.log(whole("t", "toxic") / whole("o", "ordinary")).alias("ratio"))
     words = words.where("ratio <> 0")
-    rows = cut(words.select(F.col("w").alias("key"), "n", "ratio").union(pairs))
-    return rows.where(F.col("n") >= _cutoff(rows, least, most)).select("key", "ratio")
+    return cut(words.select(F.col("w").alias("key"), "n", "ratio").union(pairs))
+
+
+def _rest(rows: DataFrame, cutoff: int) -> DataFrame:
+    """``key, ratio`` of the expressions seen less than ``cutoff`` times; a bigram's is what it adds to the ratio of its second word."""
+    words = rows.where("key < 4294967296").select(F.col("key").alias("w"), F.col("ratio").alias("own"))
+    less = rows.where(F.col("n") < cutoff).withColumn("w", F.when(F.col("key") >= 1 << 32, F.col("key").bitwiseAND(F.lit((1 << 32) - 1))))
+    return cut(less.join(words, "w", "left").select("key", (F.col("ratio") - F.coalesce("own", F.lit(0.0))).alias("ratio")))
 
 
 class Model:
@@ -138,6 +145,10 @@ class Model:
         self.quick = np.zeros(1 << _QUICK, bool)
         self.quick[self._spot(self.keys)] = True
         self.slope, self.offset = slope, offset
+        self.rest = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"rest": None}
 
     @staticmethod
     def _spot(keys: np.ndarray) -> np.ndarray:
@@ -152,20 +163,55 @@ class Model:
         hit = self.keys[place] == keys[at]
         return at[hit], self.ratios[place[hit]]
 
-    def mean_ratio(self, text: bytes, hashes: PlainWords) -> float:
-        """Mean log-likelihood ratio of the distinct bigrams of the text; 0 for a text without words."""
+    def _values(self, text: bytes, hashes: PlainWords):
+        """Distinct bigrams of the text, their ratios and the positions of the bigrams that are listed themselves."""
         grams = np.unique(_bigrams(_ids(text, hashes)))
-        if not len(grams):
-            return 0.0
         values = np.zeros(len(grams))
         at, single = self._look(grams & np.uint64((1 << 32) - 1))
         values[at] = single
         at, double = self._look(grams)
         values[at] = double
-        return float(values.sum() / len(values))
+        return grams, values, at
+
+    def mean_ratio(self, text: bytes, hashes: PlainWords, extra: float = 0.0) -> float:
+        """Mean log-likelihood ratio of the distinct bigrams of the text; 0 for a text without words. ``extra``: what ``rest`` adds to the sum."""
+        values = self._values(text, hashes)[1]
+        return float((values.sum() + extra) / len(values)) if len(values) else 0.0
+
+    def others(self, text: bytes, hashes: PlainWords) -> tuple[np.ndarray, np.ndarray]:
+        """Expressions of the text that ``rest`` may list, and how often they count."""
+        grams, _, listed = self._values(text, hashes)
+        grams = np.delete(grams, listed)
+        words, times = np.unique(grams & np.uint64((1 << 32) - 1), return_counts=True)
+        return np.concatenate((words, grams)), np.concatenate((times, np.ones(len(grams), np.int64)))
+
+    def with_rest(self, docs: DataFrame) -> DataFrame:
+        """``docs`` with ``__extra``, the sum of ``rest`` over each text; as they are if all expressions are in the tasks."""
+        if self.rest is None:
+            return docs
+        shared = docs.sparkSession.sparkContext.broadcast(self)
 
-    def score(self, text: bytes | None, hashes: PlainWords) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.mean_ratio(text or b"", hashes) + self.offset, -30, 30))))
+        def expressions(batches):
+            hashes = PlainWords()
+            for batch in batches:
+                for place, text in zip(batch.column("place"), texts_of(batch), strict=True):
+                    keys, times = shared.value.others(text or b"", hashes)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(place, len(keys)), as_long(keys), pa.array(times)], names=["place", "key", "times"])
+
+        # A text's sum depends on the text alone, so equal ones are looked up once.
+        texts = docs.select(F.sha2("text", 256).alias("place"), "text").where("text is not null").dropDuplicates(["place"])
+        found = texts.mapInArrow(expressions, "place string, key long, times long").join(self.rest, "key")
+        sums = found.groupBy("place").agg(F.sum(F.col("ratio") * F.col("times")).alias("__extra")).withColumnRenamed("place", "__place")
+        return docs.withColumn("__place", F.sha2("text", 256)).join(sums, "__place", "left").drop("__place").withColumn("__extra", F.coalesce("__extra", F.lit(0.0)))
+
+    def score(self, text: bytes | None, hashes: PlainWords, extra: float = 0.0) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.slope * self.mean_ratio(text or b"", hashes, extra) + self.offset, -30, 30))))
+
+
+def _with_extra(batch):
+    """The texts of a batch, each with what the table of the rest adds."""
+    extra = batch.column("__extra").to_pylist() if "__extra" in batch.schema.names else [0.0] * batch.num_rows
+    return zip(texts_of(batch), extra, strict=True)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -196,17 +242,21 @@ def fit(docs: DataFrame, labels: DataFrame, least: int = 5, most: int = 500_000,
     marked = docs.select("doc_id", "text").where(fold() != HELD_OUT).join(F.broadcast(marks) if small else marks, "doc_id")
     once = marked.where(fold().isin(*COUNTED)).withColumn("h", F.xxhash64("text")).select("h", "toxic", "text").dropDuplicates(["h", "toxic"])
     counts = cut(bigram_counts(once))
-    listed = expression_ratios(counts, least, most).toPandas()
+    rows = expression_ratios(counts, least)
+    cutoff = _cutoff(rows, least, most)
+    listed = rows.where(F.col("n") >= cutoff).toPandas()
     model = Model(listed["key"].to_numpy(np.int64).view(np.uint64), listed["ratio"].to_numpy(float))
+    if cutoff > least:
+        model.rest = _rest(rows, cutoff)
     shared = spark.sparkContext.broadcast(model)
 
     def ratios(batches):
         hashes = PlainWords()
         for batch in batches:
-            found = [shared.value.mean_ratio(text or b"", hashes) for text in texts_of(batch)]
+            found = [shared.value.mean_ratio(text or b"", hashes, extra) for text, extra in _with_extra(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("toxic").cast(pa.int32()), pa.array(found, pa.float64())], names=["doc_id", "toxic", "x"])
 
-    held = marked.where(fold() == CURVE).select("doc_id", "text", "toxic").mapInArrow(ratios, "doc_id long, toxic int, x double")
+    held = model.with_rest(marked.where(fold() == CURVE).select("doc_id", "text", "toxic")).mapInArrow(ratios, "doc_id long, toxic int, x double")
     sample = held.orderBy(F.crc32(F.concat(F.lit("curve"), F.col("doc_id").cast("string"))), "doc_id", "x").limit(curve_rows).toPandas()
     model.slope, model.offset = _logistic(sample["x"].to_numpy(float), sample["toxic"].to_numpy(float))
     return model
@@ -222,21 +272,22 @@ def score_texts(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFr
     def scores(batches):
         hashes = PlainWords()
         for batch in batches:
-            found = [shared.value.score(text, hashes) for text in texts_of(batch)]
+            found = [shared.value.score(text, hashes, extra) for text, extra in _with_extra(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(scores, "doc_id long, score double")
+    rows = model.with_rest(docs.select("doc_id", "text")).mapInArrow(scores, "doc_id long, score double")
     held = F.coalesce(fold() == HELD_OUT, F.lit(True))
     return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows whose text scores below ``threshold``, decided row by row where they are read."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, columns = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
     def keep(batches):
         hashes = PlainWords()
         for batch in batches:
-            yield batch.filter(pa.array([shared.value.score(text, hashes) < threshold for text in texts_of(batch)], pa.bool_()))
+            kept = pa.array([shared.value.score(text, hashes, extra) < threshold for text, extra in _with_extra(batch)], pa.bool_())
+            yield batch.select(columns).filter(kept)
 
-    return docs.mapInArrow(keep, docs.schema)
+    return model.with_rest(docs).mapInArrow(keep, docs.schema)
