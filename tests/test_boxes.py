@@ -29,6 +29,12 @@ def test_small_and_crowded_images_give_all_pairs(spark):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_a_box_without_a_place_meets_none(spark):
+    rows = [(1, 1, (None, 0.1, 0.2, 0.2)), (1, 2, (0.1, None, 0.2, 0.2)), (1, 3, (0.1, 0.1, None, 0.2)), (1, 4, (0.1, 0.1, 0.2, 0.2))]
+    p, t = spark.createDataFrame(rows, SCHEMA.format("pred_id")), spark.createDataFrame(rows, SCHEMA.format("truth_id"))
+    assert [(r.pred_id, r.truth_id) for r in evaluate.box_edges(p, t, image="image", threshold=0.3).collect()] == [(4, 4)]
+
+
 def test_boxes_of_small_images_are_not_copied_into_cells(spark):
     _, _, p, t = sides(spark, {i: 4 for i in range(1, 6)})
     edges = evaluate.box_edges(p, t, image="image", threshold=0.3)

@@ -35,7 +35,8 @@ def box_edges(predicted: DataFrame, truth: DataFrame, *, image: str, box: str =
         raise ValueError("threshold must be in (0, 1]")
 
     def keyed(df: DataFrame, name: str, alias: str) -> DataFrame:
-        return df.filter((F.col(f"{box}.w") > 0) & (F.col(f"{box}.h") > 0)).select(
+        placed = F.col(f"{box}.x").isNotNull() & F.col(f"{box}.y").isNotNull()
+        return df.filter(placed & (F.col(f"{box}.w") > 0) & (F.col(f"{box}.h") > 0)).select(
             image, F.col(name), F.col(box).alias(alias)
         )
 
