@@ -151,6 +151,19 @@ def test_scene_chunks_equal_one_fold(spark):
     assert one == many
 
 
+def test_scene_rows_are_written_without_what_no_later_fold_needs(spark, monkeypatch):
+    """Only rows before a chunk's first break keep their structure: whole rows are shuffled once."""
+    written, inner = [], scenes.cut
+    monkeypatch.setattr(scenes, "cut", lambda df: written.append(inner(df)) or written[-1])
+    rows = [(i // 4, i, i * (500 if i == 30 else 1), 0, [0.0] * 64) for i in range(80)]
+    df = spark.createDataFrame(rows, "project_id long, photo_id long, taken_s long, phash long, structure array<float>")
+    got = {r["photo_id"]: r["anchor_id"] for r in scenes.scene_members(df, chunk_rows=20).collect()}
+    want = {i: (i if i == 30 else i // 4 * 4) for i in range(80)}
+    assert got == want
+    kept = written[-1].filter("s is not null").count()
+    assert written[-1].count() == 80 and 0 < kept < 40
+
+
 def test_global_position_and_group_ranks(spark):
     df = spark.range(1000).withColumn("g", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50))
     placed = global_position(df, [F.col("id").desc()]).collect()

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,7 +78,8 @@ def scenes(df: DataFrame, **options) -> DataFrame:
     """
     project = options.get("project", "project_id")
     id = options.get("id", "photo_id")
-    members = scene_members(df, **options)
+    # Narrow rows, written once: the digests, the names and the manual rows all read them.
+    members = cut(scene_members(df, **options))
     auto = members.filter(F.col("manual_id").isNull())
     part = F.conv(F.substring(F.sha2(F.col(id).cast("string"), 256), 1, 15), 16, 10).cast("decimal(20,0)")
     counted = auto.groupBy(project, "anchor_id").agg(F.count("*").alias("n"), F.sum(part).alias("d"))
@@ -114,31 +116,42 @@ def _fold(timed: DataFrame, limits: SceneLimits, chunk_rows: int) -> DataFrame:
         F.when(usable, F.col("s")).otherwise(F.array().cast("array<float>")).cast("array<float>").alias("s"),
     )
     chunks = max(1, -(-timed.count() // chunk_rows))
-    laid = cut(laid.repartitionByRange(chunks, "project", "t", "id").withColumn("chunk", F.spark_partition_id()))
     kind = laid.schema["project"].dataType.simpleString()
-    state_schema = f"chunk int, project {kind}, anchor_id long, anchor_t long, last_t long, ok boolean, h long, s array<float>"
-
-    def folded(rows: DataFrame, states: dict[int, dict], *, members: bool) -> DataFrame:
-        ordered = rows.repartitionById(chunks, "chunk").sortWithinPartitions("chunk", "project", "t", "id")
-        schema = f"project {kind}, id long, anchor_id long" if members else state_schema
-        return ordered.mapInArrow(_folder(limits, states, members), schema)
+    wide = "chunk int, project {0}, id long, t long, ok boolean, h long, s array<float>".format(kind)
+    state = "struct<anchor_id:bigint,anchor_t:bigint,last_t:bigint,ok:boolean,h:bigint,s:array<float>>"
+    order = ["project", "t", "id"]
+    # The only shuffle of whole rows. What is written keeps them for the rows that a state from the left can still change.
+    placed = laid.repartitionByRange(chunks, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("chunk"), "*")
+    first = cut(placed.mapInArrow(_folder(limits, {}), f"{wide}, anchor_id long, opening boolean, state {state}"))
+    opening = first.where("opening").select("chunk", "project", "id", "t", "ok", "h", "s")
+
+    def folded(rows: DataFrame, states: dict[int, dict]) -> DataFrame:
+        ordered = rows.repartitionById(chunks, "chunk").sortWithinPartitions("chunk", *order)
+        return ordered.mapInArrow(_folder(limits, states), f"{wide}, anchor_id long, opening boolean, state {state}")
 
     def handed(states: list[dict]) -> dict[int, dict]:
         """Each chunk's state at its left edge: that of the last chunk before it that has rows. One narrow row for each chunk."""
-        order = sorted(states, key=lambda r: r["chunk"])
-        return {b["chunk"]: a for a, b in zip(order, order[1:], strict=False)}
+        ordered = sorted(states, key=lambda r: r["chunk"])
+        return {b["chunk"]: a for a, b in zip(ordered, ordered[1:], strict=False)}
+
+    def last(rows: DataFrame) -> dict[int, dict]:
+        found = rows.where("state is not null").select("chunk", "project", "opening", "state").collect()
+        return {r["chunk"]: {"chunk": r["chunk"], "project": r["project"], "whole": r["opening"]} | r["state"].asDict() for r in found}
 
-    # A chunk without a left neighbour starts without a state.
-    states = {r["chunk"]: r.asDict() for r in folded(laid, {}, members=False).collect()} if chunks > 1 else {}
-    active = set(handed(list(states.values())))
+    # A chunk without a left neighbour starts without a state; the state of a chunk with a break in it is final.
+    states = last(first) if chunks > 1 else {}
+    active = {c for c in handed(list(states.values())) if states[c]["whole"]}
     while active:
         left = handed(list(states.values()))
-        again = laid.where(F.col("chunk").isin(sorted(active)))
-        moved = {r["chunk"]: r.asDict() for r in folded(again, {c: left[c] for c in active}, members=False).collect()}
+        moved = last(folded(opening.where(F.col("chunk").isin(sorted(active))), {c: left[c] for c in active}))
         changed = {c for c, r in moved.items() if r["anchor_id"] != states[c]["anchor_id"]}
         states |= moved
-        active = {b for b, a in handed(list(states.values())).items() if a["chunk"] in changed}
-    return folded(laid, handed(list(states.values())), members=True)
+        active = {b for b, a in handed(list(states.values())).items() if a["chunk"] in changed and states[b]["whole"]}
+    left = handed(list(states.values()))
+    if not left:
+        return first.select("project", "id", "anchor_id")
+    again = folded(opening, left).select("project", "id", "anchor_id")
+    return first.where("not opening").select("project", "id", "anchor_id").unionByName(again)
 
 
 class SceneFold:
@@ -196,35 +209,51 @@ def arrays_of(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, ...]:
     return project, *(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("id", "t", "h")), good, s
 
 
-def _folder(limits: SceneLimits, states: dict[int, dict], members: bool):
-    """One pass over the sorted batches of a partition: the rows with their anchors, or each chunk's last state."""
+def _folder(limits: SceneLimits, states: dict[int, dict]):
+    """One pass over the sorted batches of a partition: the rows with their anchors, on a chunk's last row its last state.
 
-    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, fold = None, None
+    ``opening`` marks the rows before a chunk's first break in project or time, which a state from the left may change;
+    the others are passed on without what is only needed to fold them once more.
+    """
+    kept = ["anchor_id", "anchor_t", "last_t", "ok", "h", "s"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.float32())]
+    state_type = pa.struct(list(zip(kept, kinds, strict=True)))
 
-        def state_row() -> pa.RecordBatch:
-            row = {"chunk": chunk} | fold.state
-            names = ["chunk", "project", "anchor_id", "anchor_t", "last_t", "ok", "h", "s"]
-            kinds = [pa.int32(), kind, pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.float32())]
-            return pa.RecordBatch.from_arrays([pa.array([row[c]], k) for c, k in zip(names, kinds, strict=True)], names)
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, fold, open_, end, held = None, None, True, None, None
+
+        def told(state: dict | None) -> pa.RecordBatch:
+            """The rows held back, the last one with the chunk's state if it ends there."""
+            part, anchors, marks = held
+            n, ends = part.num_rows, [None] * (part.num_rows - 1) + [state and {c: state[c] for c in kept}]
+            wide = pa.array(marks)
+            columns = [pc.if_else(wide, part.column(c), pa.scalar(None, part.column(c).type)) for c in ("t", "ok", "h")]
+            s = part.column("s") if marks.all() else pa.array([v if m else None for v, m in zip(part.column("s").to_pylist(), marks, strict=True)], pa.list_(pa.float32())) if marks.any() else pa.nulls(n, pa.list_(pa.float32()))
+            columns = [part.column("chunk"), part.column("project"), part.column("id").cast(pa.int64()), *columns, s, pa.array(anchors), wide, pa.array(ends, state_type)]
+            return pa.RecordBatch.from_arrays(columns, ["chunk", "project", "id", "t", "ok", "h", "s", "anchor_id", "opening", "state"])
 
         for batch in batches:
-            kind = batch.schema.field("project").type
             at = batch.column("chunk").to_numpy(zero_copy_only=False)
             edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), batch.num_rows]
-            for start, end in zip(edges, edges[1:], strict=False):
-                if start == end:
+            for start, stop in zip(edges, edges[1:], strict=False):
+                if start == stop:
                     continue
+                if held is not None:
+                    yield told(fold.state if at[start] != chunk else None)
                 if at[start] != chunk:
-                    if fold is not None and not members:
-                        yield state_row()
-                    chunk = int(at[start])
+                    chunk, open_, end = int(at[start]), True, None
                     fold = SceneFold(limits, states.get(chunk))
-                part = batch.slice(start, end - start)
-                anchors = fold.add(*arrays_of(part, limits.structure_size))
-                if members:
-                    yield pa.RecordBatch.from_arrays([part.column("project"), part.column("id").cast(pa.int64()), pa.array(anchors)], ["project", "id", "anchor_id"])
-        if fold is not None and not members:
-            yield state_row()
+                part = batch.slice(start, stop - start)
+                project, ids, t, *rest = arrays_of(part, limits.structure_size)
+                anchors = fold.add(project, ids, t, *rest)
+                marks = np.full(len(ids), open_)
+                if open_:
+                    before, since = (project[0], t[0]) if end is None else end
+                    broken = (project != np.concatenate([np.array([before], dtype=object), project[:-1]])) | (np.diff(t, prepend=since) > limits.gap)
+                    marks = np.cumsum(broken) == 0
+                    open_, end = bool(marks.all()), (project[-1], t[-1])
+                held = (part, anchors, marks)
+        if held is not None:
+            yield told(fold.state)
 
     return rows_of
