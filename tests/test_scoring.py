@@ -160,3 +160,14 @@ def test_sidecar_merge_keeps_other_bytes():
     assert again.count("Decision=") == 1 and "Rating='5'" not in again
     with pytest.raises(ValueError):
         sidecars.merge_text("<a/>", path="/a/b.jpg", rating=1, label="", decision="keep")
+
+
+def test_audit_scores_a_row_once(spark):
+    """The audit's filter does not repeat the expression that scores a row; a changed total is found."""
+    df = spark.createDataFrame([shot(), shot(lap=20.0, id=2)], FEATURES)
+    rows = scoring.rescore(df, Settings()).withColumn("score", F.col("score") + F.when(F.col("photo_id") == 2, 0.001).otherwise(0.0))
+    found = scoring.audit_scores(rows).select("photo_id")
+    once = scoring.rescore(df, Settings()).select("photo_id", "components", "score", "weight_total")
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString().count("_left_eye")
+    assert plan(found) == plan(once) > 0
+    assert [r["photo_id"] for r in found.collect()] == [2]
