@@ -99,3 +99,21 @@ def test_a_page_reads_no_payload(spark):
     rows = catalog_queries.candidate_view(Data(spark, FOLDER))
     plan = plan_of(catalog.catalog_page(rows, catalog.PageFilter(sort="score", limit=5)))
     assert "json" not in plan.lower() and "Exchange" not in plan
+
+
+def test_batch_search_asks_for_every_hundredth_row(spark, tmp_path):
+    import numpy as np
+
+    from winnow.plans import load
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(250, 64)).astype(np.float32)
+    rows = [(i, 0, v[i].tolist()) for i in range(250)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = load().QUERIES["search_batch"](spark, str(tmp_path)).collect()
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for q in (0, 100, 200):
+        sims = unit @ unit[q]
+        sims[q] = -2
+        assert [r["photo_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == np.argsort(-sims)[:10].tolist()
+    assert {r["query_id"] for r in got} == {0, 100, 200}
