@@ -177,3 +177,46 @@ def test_gap_sessions_cross_piece_borders(spark):
     df = spark.createDataFrame([("u", t) for t in times], "u string, t long")
     got = gap_sessions(df, entity="u", time="t", gap=90, chunk=100).orderBy("t").collect()
     assert [r["session_no"] for r in got] == [0, 0, 0, 1, 1, 1, 2]
+
+
+def test_rows_are_compared_where_they_meet(spark, monkeypatch):
+    """Pairs with close hashes and other structures are neither written nor joined; a hot block is cut into shares and lots."""
+    import numpy as np
+
+    monkeypatch.setattr(leaders, "LOT", 6)
+    monkeypatch.setattr(leaders, "SHARE", 25)
+    monkeypatch.setattr(leaders, "PAIRS", 40)
+    plans = []
+    inner = leaders.cut
+
+    def seen(df):
+        if df.columns == ["node", "pivot"]:
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return inner(df)
+
+    monkeypatch.setattr(leaders, "cut", seen)
+    rng = random.Random(3)
+    looks = [[rng.random() * 0.05 + 0.5 for _ in range(64)] for _ in range(9)]
+    rows = []
+    for i in range(150):
+        cells = [float(np.float32(v + rng.random() * 0.02)) for v in rng.choice(looks)]
+        rows.append((i, (1 << 40) ^ (1 << rng.randint(0, 5)), 1.5 + (i % 3) * 0.006, cells))
+    df = spark.createDataFrame(rows, "photo_id long, phash long, aspect double, structure array<float>")
+
+    def alike(a, b):
+        far = np.abs(np.float32(a[3]) - np.float32(b[3]))
+        total = np.float32(0)
+        for x in far:
+            total += x
+        return (
+            (a[1] ^ b[1]).bit_count() <= 2 and abs(a[2] / b[2] - 1) <= 0.005
+            and float(total / np.float32(64)) <= 0.015 and float(far.max()) <= 0.06
+        )
+
+    want = sequential([(r[0], r) for r in rows], alike)
+    sizes = {}
+    for leader in want.values():
+        sizes[leader] = sizes.get(leader, 0) + 1
+    got = groups.group_duplicates(df, node="photo_id", pivots=3)
+    assert {r.photo_id: r.leader for r in got.collect()} == {n: x for n, x in want.items() if sizes[x] > 1}
+    assert len(plans) > 1 and not any("Join" in p.split("MapInArrow")[0] for p in plans)
