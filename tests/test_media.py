@@ -1,6 +1,8 @@
 """Image measurements on arrays built here, and the jobs that run them."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from winnow.media import jobs, pixels
 from winnow.operators import corpus
@@ -89,3 +91,25 @@ def test_occlusion_only_hides(spark):
     df = spark.createDataFrame([(1, "open", 0.9, None), (2, "open", 0.1, None), (3, None, 0.9, "dark"), (4, "open", None, None)], "id int, state string, visible_fraction double, reason string")
     got = {r["id"]: r["state"] for r in jobs.hide_occluded(df, minimum=0.5).collect()}
     assert got == {1: "open", 2: None, 3: None, 4: None}
+
+
+def test_doubled_sizes_resize_by_matrix_products(monkeypatch):
+    """The spectrum's 128 x 128 needs no einsum for a picture of 32 x 32, and is what it gives."""
+    rng = np.random.default_rng(5)
+    einsum = np.einsum
+    monkeypatch.setattr(np, "einsum", lambda *a: pytest.fail("einsum"))
+    for height, width in ((32, 32), (64, 16)):
+        rgb = rng.integers(0, 256, (height, width, 3), dtype=np.uint8)
+        for size in (64, 128):
+            rows = einsum("ts,swc->twc", pixels.triangle_weights(height, size), rgb.astype(np.float64))
+            want = np.clip(np.rint(einsum("ts,hsc->htc", pixels.triangle_weights(width, size), rows)), 0, 255).astype(np.uint8)
+            assert (pixels.resize(rgb, size, size) == want).all()
+
+
+def test_pictures_are_dealt_by_their_number(spark):
+    """Narrow rows fill few splits: a task would grow with the table."""
+    from winnow.session import spread
+
+    rows = spark.range(1000, numPartitions=1).withColumn("v", F.lit(1))
+    assert spread(rows, "id", rows=50).rdd.getNumPartitions() == 20
+    assert spread(rows, "id", rows=5000).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

@@ -31,7 +31,7 @@ def pictures(d):
         )
         return F.array_join(lines, "")
 
-    return spread(d.embeddings, "vec_id").select(
+    return spread(d.embeddings, "vec_id", rows=5_000).select(
         F.col("vec_id").cast("string").alias("path"),
         F.lit(32).alias("height"),
         F.lit(32).alias("width"),
