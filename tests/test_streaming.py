@@ -64,6 +64,23 @@ def test_a_request_is_accepted_once_for_ever(spark, tmp_path):
     assert live.state_rows(run) == 5
 
 
+def test_a_bucket_of_ids_is_one_call_of_the_processor(spark, tmp_path):
+    place, schema = str(tmp_path), "request_id string, arguments string, seq long"
+    said = []
+    for rows in ([("a", "x", 2), ("a", None, 1), ("b", "x", 3)], [("a", None, 4), ("b", "y", 5), ("c", "z", 6)]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(place + "/in")
+        stream = live.file_stream(spark, place + "/in", schema=schema, files_per_batch=None)
+        with live.keyed_state(spark):
+            run = live.publish(live.first_seen(stream, buckets=1), live.batch_table(place + "/out"), checkpoint=place + "/checkpoint")
+        run.awaitTermination()
+        found = spark.read.parquet(place + "/out").collect()
+        said.append(sorted((r["request_id"], r["arguments"] or "", r["outcome"], r["n"]) for r in found if r["batch"] == len(said)))
+    assert said[0] == [("a", "", "accepted", 1), ("a", "x", "mismatch", 1), ("b", "x", "accepted", 1)]
+    assert said[1] == [("a", "", "replayed", 1), ("b", "y", "mismatch", 1), ("c", "z", "accepted", 1)]
+    # The keys of this state are buckets.
+    assert live.state_rows(run) == 1
+
+
 def test_dead_letters_are_retried_once(spark, tmp_path):
     place = str(tmp_path)
     source = spark.createDataFrame([(1, None), (2, "bad"), (None, "bad"), (3, None), (4, "bad")], "id long, error string")

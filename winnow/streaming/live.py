@@ -119,29 +119,32 @@ def keyed_state(spark: SparkSession):
 
 
 class FirstSeen(StatefulProcessor):
-    """Per request id, the arguments it was first accepted with: equal requests are replays, others mismatches."""
+    """Of a bucket of request ids, the arguments each was first accepted with: equal requests are replays, others mismatches.
+
+    A bucket reads and extends its state once in a micro-batch; with a key for each id every id would ask the state store several times."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "arguments string")
+        self.first = handle.getListState("first", "request_id string, arguments string")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        counts: dict[str | None, list[int]] = {}
+        asked: dict[str, dict[str | None, list[int]]] = {}
         for row in rows:
-            held = counts.setdefault(row["arguments"], [0, row["seq"]])
+            held = asked.setdefault(row["request_id"], {}).setdefault(row["arguments"], [0, row["seq"]])
             held[0] += row["n"]
             held[1] = min(held[1], row["seq"])
-        accepted = None
-        if self.first.exists():
-            first = self.first.get()[0]
-        else:
-            # Of one micro-batch the request with the lowest sequence number is the first.
-            accepted = first = min(counts, key=lambda a: (counts[a][1], a is None, a or ""))
-            self.first.update((first,))
-            yield Row(request_id=key[0], arguments=first, outcome="accepted", n=1)
-            counts[first][0] -= 1
-        for arguments, (n, _) in counts.items():
-            if n:
-                yield Row(request_id=key[0], arguments=arguments, outcome="replayed" if arguments == first else "mismatch", n=n)
+        firsts = {id: arguments for id, arguments in self.first.get() if id in asked}
+        # Of one micro-batch the request with the lowest sequence number is the first.
+        new = {id: min(counts, key=lambda a: (counts[a][1], a is None, a or "")) for id, counts in asked.items() if id not in firsts}
+        if new:
+            self.first.appendList(list(new.items()))
+        for id, counts in asked.items():
+            first = new[id] if id in new else firsts[id]
+            if id in new:
+                yield Row(request_id=id, arguments=first, outcome="accepted", n=1)
+                counts[first][0] -= 1
+            for arguments, (n, _) in counts.items():
+                if n:
+                    yield Row(request_id=id, arguments=arguments, outcome="replayed" if arguments == first else "mismatch", n=n)
 
     def close(self) -> None:
         pass
@@ -154,16 +157,18 @@ def _collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from table.select(["request_id", "arguments", "seq_min", "seq_count"]).rename_columns(["request_id", "arguments", "seq", "n"]).to_batches()
 
 
-def first_seen(requests: DataFrame) -> DataFrame:
+def first_seen(requests: DataFrame, *, buckets: int = 4096) -> DataFrame:
     """``request_id, arguments, outcome, n`` for a stream of ``request_id, arguments, seq``: accepted once for ever, later a replay or, with
-    other arguments, a mismatch. State is one row for each id; start the query inside :func:`keyed_state`."""
+    other arguments, a mismatch. State is one row for each id, held by ``buckets``: a task has the ids of one bucket in memory at a time. A
+    checkpoint keeps the number it was started with. Start the query inside :func:`keyed_state`."""
     rows = requests.select(F.coalesce("request_id", F.lit("")).alias("request_id"), "arguments", F.coalesce("seq", F.lit(0)).cast("long").alias("seq"))
     few = rows.mapInArrow(_collapsed, "request_id string, arguments string, seq long, n long")
-    return few.groupBy("request_id").transformWithState(statefulProcessor=FirstSeen(), outputStructType=OUTCOMES, outputMode="Append", timeMode="None")
+    bucket = F.pmod(F.xxhash64("request_id"), F.lit(buckets)).cast("int")
+    return few.withColumn("bucket", bucket).groupBy("bucket").transformWithState(statefulProcessor=FirstSeen(), outputStructType=OUTCOMES, outputMode="Append", timeMode="None")
 
 
 def state_rows(query) -> int:
-    """Keys held by the stateful operators of a run, as its last trigger reported them."""
+    """Keys held by the stateful operators of a run, as its last trigger reported them (for :func:`first_seen` the buckets in use, not the ids)."""
     last = query.lastProgress
     return sum(op["numRowsTotal"] for op in last["stateOperators"]) if last else 0
 
