@@ -69,3 +69,14 @@ def test_decision_files_keep_quotes_and_refuse_a_taken_place(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("file,action\na,keep\n")
     with pytest.raises(ValueError, match="lacks columns"):
         decisions.read_decision_file(spark, str(tmp_path / "bad.csv"))
+
+
+def test_structures_of_waiting_rows_are_packed():
+    import numpy as np
+    import pyarrow as pa
+
+    s = pa.array([[9.0], [], [1.0, 2.5], [], [3.0]], pa.list_(pa.float32()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), s], names=["id", "s"]).slice(1)
+    (packed,) = live_scenes._packed([batch])
+    assert packed.column("id").to_pylist() == [1, 2, 3, 4]
+    assert [np.frombuffer(b, np.float32).tolist() for b in packed.column("s").to_pylist()] == [[], [1.0, 2.5], [], [3.0]]

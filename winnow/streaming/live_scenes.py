@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -12,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..functions.vectors import all_finite
 from ..operators.scenes import SceneFold, SceneLimits
 
-ROW = "id long, t long, h long, ok boolean, s array<float>"
+ROW = "id long, t long, h long, ok boolean, s binary"
 OPEN = "anchor_id long, anchor_t long, last_t long, ok boolean, h long, s array<float>"
 
 
@@ -29,23 +30,27 @@ class LiveScenes(StatefulProcessor):
         self.open = handle.getValueState("open", OPEN)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        self.waiting.appendList([tuple(r[c] for c in ("id", "t", "h", "ok", "s")) for r in rows])
-        yield from self.settle(key, timerValues.getCurrentWatermarkInMs())
+        new = [tuple(r[c] for c in ("id", "t", "h", "ok", "s")) for r in rows]
+        yield from self.settle(key, timerValues.getCurrentWatermarkInMs(), new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self.settle(key, timerValues.getCurrentWatermarkInMs())
+        yield from self.settle(key, timerValues.getCurrentWatermarkInMs(), [])
 
-    def settle(self, key, watermark: int) -> Iterator[Row]:
-        rows = sorted(self.waiting.get(), key=lambda r: (r[1], r[0]))
+    def settle(self, key, watermark: int, new: list[tuple]) -> Iterator[Row]:
+        held = list(self.waiting.get())
+        rows = sorted(held + new, key=lambda r: (r[1], r[0]))
         ripe = [r for r in rows if r[1] * 1000 <= watermark]
         later = rows[len(ripe) :]
         if later:
             self.handle.registerTimer(later[0][1] * 1000 + 1)
+        # Rows that are folded at once never enter the state.
         if not ripe:
+            if new:
+                self.waiting.appendList(new)
             return
         if later:
-            self.waiting.put([tuple(r) for r in later])
-        else:
+            self.waiting.put(later)
+        elif held:
             self.waiting.clear()
         state = None
         if self.open.exists():
@@ -53,7 +58,7 @@ class LiveScenes(StatefulProcessor):
             state = dict(zip(names, self.open.get(), strict=True)) | {"project": key[0]}
         fold, size = SceneFold(self.limits, state), self.limits.structure_size
         good = np.array([r[3] for r in ripe], dtype=bool)
-        s = np.array([r[4] if r[3] else np.zeros(size) for r in ripe], dtype=np.float32).reshape(-1, size)
+        s = np.frombuffer(b"".join(r[4] if r[3] else bytes(4 * size) for r in ripe), dtype=np.float32).reshape(-1, size)
         project = np.array([key[0]] * len(ripe), dtype=object)
         ids, t, h = (np.array([r[i] for r in ripe], dtype=np.int64) for i in range(3))
         anchors = fold.add(project, ids, t, h, good, s)
@@ -66,6 +71,17 @@ class LiveScenes(StatefulProcessor):
         pass
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Structures as bytes: as lists, each number would be a Python object wherever a row is read or kept."""
+    for batch in batches:
+        s = batch.column("s")
+        ends = np.cumsum(s.value_lengths().to_numpy(zero_copy_only=False)) * 4
+        places = np.concatenate([[0], ends]).astype(np.int32)
+        numbers = s.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+        packed = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(places), pa.py_buffer(numbers)])
+        yield pa.RecordBatch.from_arrays([packed if name == "s" else batch.column(name) for name in batch.schema.names], names=batch.schema.names)
+
+
 def live_scenes(stream: DataFrame, *, project: str = "project_id", id: str = "photo_id", time: str = "taken_s", hash: str = "phash", structure: str = "structure", limits: SceneLimits = SceneLimits(), delay: int = 600) -> DataFrame:
     """``project, id, anchor_id`` of timed rows, as the batch partition names them, once no earlier row can come.
 
@@ -80,5 +96,6 @@ def live_scenes(stream: DataFrame, *, project: str = "project_id", id: str = "ph
         F.coalesce(F.col(hash).cast("long"), F.lit(0)).alias("h"), ok.alias("ok"), F.when(ok, s.cast("array<float>")).otherwise(F.array().cast("array<float>")).alias("s"),
     )
     kind = rows.schema["project"].dataType.simpleString()
+    rows = rows.mapInArrow(_packed, f"project {kind}, at timestamp, id long, t long, h long, ok boolean, s binary")
     keyed = rows.withWatermark("at", f"{delay} seconds").groupBy("project")
     return keyed.transformWithState(statefulProcessor=LiveScenes(limits), outputStructType=f"project {kind}, id long, anchor_id long", outputMode="Append", timeMode="EventTime")
