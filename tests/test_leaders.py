@@ -220,3 +220,72 @@ def test_rows_are_compared_where_they_meet(spark, monkeypatch):
     got = groups.group_duplicates(df, node="photo_id", pivots=3)
     assert {r.photo_id: r.leader for r in got.collect()} == {n: x for n, x in want.items() if sizes[x] > 1}
     assert len(plans) > 1 and not any("Join" in p.split("MapInArrow")[0] for p in plans)
+
+
+def test_bursts_of_a_hot_second_equal_the_walk_and_travel_once(spark, monkeypatch):
+    """Half the rows in one second, lists cut short; a row is written a few times, not once for each band of its hash."""
+    from winnow.operators import sweep
+
+    written, real = [], leaders.cut
+
+    def seen(df):
+        out = real(df)
+        if "x_structure" in df.columns:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(leaders, "cut", seen)
+    monkeypatch.setattr(sweep, "cut", seen)
+    monkeypatch.setattr(leaders, "LINKS", 50)
+    monkeypatch.setattr(leaders, "PAIRS", 90)
+    monkeypatch.setattr(leaders, "STEP", 300)
+    rng = random.Random(11)
+    looks = [([rng.random() * 0.3 for _ in range(64)], rng.getrandbits(64) - (1 << 63)) for _ in range(8)]
+    rows = []
+    for i in range(400):
+        cells, h = rng.choice(looks)
+        for _ in range(rng.randint(0, 5)):
+            h ^= 1 << rng.randint(0, 62)
+        cells = [c + rng.random() * 0.22 for c in cells]
+        t = 7000 if i % 2 else rng.choice([-9_000, 0, 6_995, 7_008, 7_020])
+        rows.append((i * 7 % 400, rng.choice(["p", "q"]), h, t, 1.5 + i % 3 * 0.03, cells, 1.0))
+    rows = sorted([*rows, (500, "p", 5, None, 1.5, [0.5] * 64, 1.0), (501, None, 5, 1, 1.5, [0.5] * 64, 1.0), (502, None, 5, 1, 1.5, [0.6] * 64, 1.0)])
+    df = spark.createDataFrame(rows, "photo_id long, project string, phash long, taken_s long, aspect double, structure array<float>, score double")
+
+    def alike(a, b):
+        total = 0.0
+        for x, y in zip(a[5], b[5], strict=True):
+            total += abs(x - y)
+        return a[1] == b[1] and abs(a[3] - b[3]) <= 8 and (a[2] ^ b[2]).bit_count() <= 8 and abs(a[4] - b[4]) < 0.05 and total / 64 < 0.10
+
+    live = [r for r in rows if r[3] is not None and r[1] is not None]
+    want = sequential([(r[0], r) for r in live], alike)
+    sizes = {}
+    for leader in want.values():
+        sizes[leader] = sizes.get(leader, 0) + 1
+    assert max(sizes.values()) > 5 and len(sizes) > 30
+    for pivots in (64, 2):
+        written.clear()
+        for node, names in ((F.col("photo_id"), lambda x: x), (F.format_string("%05d", "photo_id"), int)):
+            got = groups.group_similar(df.withColumn("photo_id", node), node="photo_id", project="project", pivots=pivots)
+            assert {names(r.photo_id): names(r.leader) for r in got.collect()} == {n: x for n, x in want.items() if sizes[x] > 1}
+        if pivots == 64:
+            assert sum(written) <= 6 * len(rows)
+
+
+def test_rows_of_a_range_are_settled_like_one_by_one():
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    for n, span in ((300, 30), (300, 1), (40, 40)):
+        links = []
+        for node in range(0, 2 * n, 2):
+            for pivot in sorted(rng.sample(range(max(-span, node - 2 * span), node), rng.randint(1, min(3, span)))):
+                links.append((node, pivot, "A" if pivot < 0 and rng.random() < 0.3 else "M" if pivot % 2 else "?", node % 22 != 0))
+        columns = list(zip(*links, strict=True))
+        batch = pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2]), pa.array(columns[3])], names=["node", "pivot", "ps", "seen"])
+
+        def told(walk):
+            return {k: v for b in walk([batch.slice(0, 17), batch.slice(17)]) for k, v in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+
+        assert told(leaders._walk_numbers) == told(leaders._walk)
