@@ -289,3 +289,20 @@ def test_rows_of_a_range_are_settled_like_one_by_one():
             return {k: v for b in walk([batch.slice(0, 17), batch.slice(17)]) for k, v in zip(*(c.to_pylist() for c in b.columns), strict=True)}
 
         assert told(leaders._walk_numbers) == told(leaders._walk)
+
+
+def test_a_grouping_run_makes_its_rows_once_and_ranks_narrow_ones(spark, monkeypatch):
+    from winnow.operators import ranking
+
+    plans, ranked, inner, place = [], [], groups.collapse_copies, ranking.global_position
+    monkeypatch.setattr(groups, "collapse_copies", lambda rows, **k: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or inner(rows, **k))
+    monkeypatch.setattr(ranking, "global_position", lambda df, *a, **k: ranked.append(df.columns) or place(df, *a, **k))
+    df = rows_for(spark, [(i, 0, 1, 1.5, [0.5] * 64) for i in range(4)]).withColumn("part", F.explode(F.array(F.lit(0), F.lit(10))))
+    df = df.select((F.col("node") + F.col("part")).alias("photo_id"), "phash", "taken_s", "aspect", "structure", "score").withColumns(
+        {"missing": F.col("photo_id") == 3, "quarantined": F.lit(False), "closed_eye": F.col("photo_id") == 0, "capture_variant_id": F.lit(None).cast("string")}
+    )
+    got = sorted(tuple(r) for r in groups.build_groups(df).collect())
+    left = [1, 2, 10, 11, 12, 13]
+    assert got == sorted([("burst", 0, i, n) for n, i in enumerate([*left, 0], 1)] + [("duplicate", 0, i, n) for n, i in enumerate(sorted([0, *left], key=str), 1)])
+    assert len(plans) == 2 and not any("Generate" in p for p in plans)
+    assert len(ranked) == 2 and not any("structure" in c for c in ranked)
