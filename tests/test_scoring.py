@@ -147,6 +147,29 @@ def test_search_refuses_bad_queries_and_splits_query_blocks(spark):
     assert key(one) == key(many) and len(key(one)) == 80
 
 
+def test_many_queries_stay_where_they_are_and_equal_vectors_are_ranked_by_id(spark, monkeypatch):
+    """Blocks of vectors pass the driver, queries do not; copies of a vector and a missing one among them."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(90, 3)).astype(np.float32)
+    v[::3] = v[0]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(90, None)], "photo_id long, vector array<float>")
+    sent, inner = [], retrieval._matrix
+    monkeypatch.setattr(retrieval, "_matrix", lambda block, name: sent.append((name, len(block))) or inner(block, name))
+    got = retrieval.top_k(rows, rows.withColumnRenamed("photo_id", "query_id"), k=40, dimensions=3, exclude_self=True, block_bytes=1000).collect()
+    assert {name for name, _ in sent} == {"id"} and sum(n for _, n in sent) == 90 and len(sent) > 2
+    ids = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        ids.setdefault(r["query_id"], []).append(r["photo_id"])
+    assert set(ids) == set(range(90)) and ids[0][:29] == list(range(3, 90, 3))
+    for q in range(90):
+        sims = (v.astype(np.float64) * v[q].astype(np.float64)).sum(1)
+        want = [i for i in np.lexsort((np.arange(90), -np.round(sims, 9))) if i != q][:40]
+        assert sorted(np.round(sims[ids[q]], 6)) == sorted(np.round(sims[want], 6)) and len(set(ids[q])) == 40
+
+
 def test_sidecar_merge_keeps_other_bytes():
     ns = f"xmlns:rdf='{sidecars.RDF}'"
     text = (
